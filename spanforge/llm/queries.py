@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from .pii import op8_contextual_pii
+from .fingerprint import op10_canonical_digest
 from .sharding import op9_hilbert_sharding
 
+from .urls import op5_markov_urls
+
 QUERIES = {
+    "op5_markov_urls": op5_markov_urls,
     "op8_contextual_pii": op8_contextual_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
+    "op10_canonical_digest": op10_canonical_digest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
