@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from .pii import op8_contextual_pii
 from .fingerprint import op10_canonical_digest
+from .pii import op8_contextual_pii
 from .sharding import op9_hilbert_sharding
-
+from .tokens import op2_bit_shuffled_tokens
 from .urls import op5_markov_urls
 
 QUERIES = {
+    "op2_bit_shuffled_tokens": op2_bit_shuffled_tokens,
     "op5_markov_urls": op5_markov_urls,
     "op8_contextual_pii": op8_contextual_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
