@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprint import op10_canonical_digest
+from .language import op6_byte_gru_language
 from .pii import op8_contextual_pii
 from .sharding import op9_hilbert_sharding
 from .tokens import op2_bit_shuffled_tokens
@@ -11,6 +12,7 @@ from .urls import op5_markov_urls
 QUERIES = {
     "op2_bit_shuffled_tokens": op2_bit_shuffled_tokens,
     "op5_markov_urls": op5_markov_urls,
+    "op6_byte_gru_language": op6_byte_gru_language,
     "op8_contextual_pii": op8_contextual_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_canonical_digest": op10_canonical_digest,
