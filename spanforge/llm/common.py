@@ -59,6 +59,54 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of an id filter at most; what it lets pass beyond its ids is sorted out by the exact join that follows.
+FILTER_BITS = 1 << 26
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15)) & _U(bits - 1)).astype(np.int64)
+
+
+def id_filter(spark: SparkSession, ids: DataFrame) -> np.ndarray:
+    """A bit map of the ids (one column of longs), of bounded size for any number of them.
+
+    With it a task drops most rows that a semi-join would drop, before their texts are shuffled.
+    """
+    n = ids.count()
+    bits = min(FILTER_BITS, max(1 << 10, 1 << int(16 * n).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            at = _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits)
+            word, of = np.unique(at >> 6, return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, of, _U(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), signed(value)], ["word", "value"])
+
+    words = ids.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_filter(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _places(ids, len(bitmap) << 6)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1
+
+
+def only_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is one of ids (doc_id): the filter in each task, then the exact semi-join. Null ids go."""
+    sent = spark.sparkContext.broadcast(id_filter(spark, ids.select("doc_id")))
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+            if batch.num_rows:
+                yield batch.filter(pa.array(in_filter(sent.value, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+
+    return docs.mapInArrow(run, docs.schema).join(ids, "doc_id", "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -93,9 +141,10 @@ class Words:
 
     starts, ends: byte places of the words in buf; first: index of each text's first word, one more entry at the end;
     hash: one 64-bit hash for each word (two with wide=True). fold=True lower-cases A-Z first. Null texts have no words.
+    breaks: which bytes end a word, white space if None.
     """
 
-    def __init__(self, texts: pa.Array, fold: bool, wide: bool = False):
+    def __init__(self, texts: pa.Array, fold: bool, wide: bool = False, breaks: np.ndarray | None = None):
         texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
         n = len(texts)
         raw = np.frombuffer(texts.buffers()[1], np.int64, n + 1 + texts.offset)[texts.offset :] if n else np.zeros(1, np.int64)
@@ -104,7 +153,7 @@ class Words:
         self.buf = np.frombuffer(data, np.uint8, int(raw[-1]) - base, base) if data is not None and raw[-1] > base else np.zeros(0, np.uint8)
         at = raw - base
         self.n_texts = n
-        ws = _IS_WS[self.buf]
+        ws = (_IS_WS if breaks is None else breaks)[self.buf]
         edge = np.zeros(len(self.buf) + 1, bool)
         edge[at] = True  # a word never crosses from one text into the next
         before = np.ones(len(self.buf), bool)
@@ -134,8 +183,8 @@ class Words:
         h, n = self.hash[k], len(self.hash[k]) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        out, power, done, span, step = np.zeros(n, np.uint64), _U(1), 0, h, 1
-        grow = _Q[k]
+        out, power, done, span, step = np.zeros(n, np.uint64), np.ones(1, np.uint64), 0, h, 1
+        grow = np.array([_Q[k]])
         rest = size
         while rest:  # by doubling: spans of 1, 2, 4, ... words
             if rest & 1:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, passes, signed, table
+from .common import Scratch, Words, components, mix, only_ids, passes, signed, table
 
 RARE = 8
 SMALL = 64
@@ -48,7 +48,7 @@ def gram_sets(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray, np
     owner, grams = words.doc[: len(full)][inside], full[inside]
     short = np.flatnonzero((count > 0) & (count < n_words))
     if len(short):
-        whole, power = np.zeros(len(short), np.uint64), _U(1)
+        whole, power = np.zeros(len(short), np.uint64), np.ones(1, np.uint64)
         for j in range(n_words - 1):
             has = count[short] > j
             whole[has] += power * words.hash[0][words.first[:-1][short[has]] + j]
@@ -270,7 +270,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     pairs = scratch.table(pairs.union(star).distinct(), "pairs")
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(family.select("doc")).distinct()
-    sets = scratch.table(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n_words), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.table(only_ids(spark, docs, ids).mapInArrow(_sets(n_words), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "sets")
     with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     links = scratch.table(with_sets.mapInArrow(_verify(percent), "a long, b long"), "links")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, ints, mix, passes, signed, table
+from .common import Scratch, Words, ints, mix, only_ids, passes, signed, table
 
 _U = np.uint64
 _Q = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
@@ -160,7 +160,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
     ends = scratch.table(placed.where("doc = first_doc").join(mixed, "anchor").select("doc", "pos").distinct(), "ends")
 
     touched = full.select(F.col("doc").alias("doc_id")).union(ends.select("doc")).distinct()
-    texts = scratch.table(docs.join(touched, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = scratch.table(only_ids(spark, docs, touched).dropDuplicates(["doc_id"]), "texts")
     places = ends.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("places"))
     windows = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(length, seed), "w1 long, w2 long, doc long, pos long")
     windows = scratch.table(windows, "windows")
