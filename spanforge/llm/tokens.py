@@ -39,15 +39,13 @@ END_ID = 1
 
 def pack_block(ids: np.ndarray, kind: int = 1, level: int = 1) -> bytes:
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    raw = ids.view(np.uint8).reshape(-1, 4)
     top = int(ids.max()) if len(ids) else 0
     if kind == 1:
         count = max(1, top.bit_length())
-        bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :count]
-        planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+        planes = [np.packbits((ids >> np.uint32(k)).astype(np.uint8) & np.uint8(1), bitorder="little") for k in range(count)]
     else:
         count = max(1, (top.bit_length() + 7) // 8)
-        planes = np.ascontiguousarray(raw.T[:count])
+        planes = [(ids >> np.uint32(8 * k)).astype(np.uint8) for k in range(count)]
     press = zstandard.ZstdCompressor(level=level)
     frames = [press.compress(p.tobytes()) for p in planes]
     return b"BPS1" + struct.pack("<BBI", kind, count, len(ids)) + struct.pack(f"<{count}I", *map(len, frames)) + b"".join(frames)
@@ -58,19 +56,14 @@ def unpack_block(data: bytes) -> np.ndarray:
         raise ValueError("not a block of token ids")
     kind, count, n = struct.unpack_from("<BBI", data, 4)
     sizes = struct.unpack_from(f"<{count}I", data, 10)
-    at, planes, press = 10 + 4 * count, [], zstandard.ZstdDecompressor()
+    at, ids, press = 10 + 4 * count, np.zeros(n, "<u4"), zstandard.ZstdDecompressor()
     width = (n + 7) // 8 if kind == 1 else n
-    for size in sizes:
-        planes.append(np.frombuffer(press.decompress(data[at : at + size], max_output_size=max(width, 1)), np.uint8))
+    for k, size in enumerate(sizes):
+        plane = np.frombuffer(press.decompress(data[at : at + size], max_output_size=max(width, 1)), np.uint8)
+        part = np.unpackbits(plane, count=n, bitorder="little") if kind == 1 else plane
+        ids |= part.astype("<u4") << np.uint32(k if kind == 1 else 8 * k)
         at += size
-    if kind == 1:
-        full = np.zeros((n, 32), np.uint8)
-        full[:, :count] = np.unpackbits(np.stack(planes), axis=1, bitorder="little")[:, :n].T
-        raw = np.packbits(full, axis=1, bitorder="little")
-    else:
-        raw = np.zeros((n, 4), np.uint8)
-        raw[:, :count] = np.stack(planes).T
-    return np.ascontiguousarray(raw).view("<u4").reshape(-1)
+    return ids
 
 
 # ---------------------------------------------------------------- encoding
