@@ -143,7 +143,8 @@ def _postings(n_words: int, percent: int, buckets: int):
 
 
 def _match(group: pa.Table) -> pa.Table:
-    """Pairs of documents (kind 0) that share a rare value of this bucket; postings (doc, key) of common ones (kind 1)."""
+    """Pairs of documents that share rare values of this bucket, how many and of which level (kind 0); postings (doc, key)
+    of common values (kind 1)."""
     kind = group.column("kind").to_numpy()
     blobs = [[np.frombuffer(b, np.int64) for b in group.column(c).to_pylist()] for c in ("keys", "docs")]
     join = lambda which, k: np.concatenate([b for b, x in zip(blobs[which], kind, strict=True) if x == k] or [np.zeros(0, np.int64)])
@@ -158,21 +159,22 @@ def _match(group: pa.Table) -> pa.Table:
     size = np.repeat(sizes, sizes)
     rare, some = size < RARE, size > 1
     keys, docs, rare = keys[some], docs[some], rare[some]
-    a, b = [], []
+    a, b, at = [], [], []
     for step in range(1, RARE):
         hit = np.flatnonzero((keys[step:] == keys[:-step]) & rare[step:])
         a.append(docs[hit])
         b.append(docs[hit + step])
-    a, b = np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = a[keep], b[keep]
+        at.append(keys[hit] & 63)
+    a, b, at = np.concatenate(a), np.concatenate(b), np.concatenate(at)
+    order = np.lexsort((at, b, a))
+    a, b, at = a[order], b[order], at[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (at[1:] != at[:-1]))) if len(a) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(a)))
     heavy_docs = np.concatenate([docs[~rare], join(1, 1)])
     heavy_keys = np.concatenate([keys[~rare], join(0, 1)])
-    out_kind = np.concatenate([np.zeros(len(a), np.int32), np.ones(len(heavy_docs), np.int32)])
-    return pa.table({"kind": out_kind, "a": np.concatenate([a, heavy_docs]), "b": np.concatenate([b, heavy_keys])})
+    rest = np.zeros(len(heavy_docs), np.int64)
+    kinds = np.concatenate([np.zeros(len(first), np.int32), np.ones(len(heavy_docs), np.int32)])
+    return pa.table({"kind": kinds, "a": np.concatenate([a[first], heavy_docs]), "b": np.concatenate([b[first], heavy_keys]), "level": np.concatenate([at[first], rest]), "n": np.concatenate([many, rest])})
 
 
 def _sets(n_words: int):
@@ -250,18 +252,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     reps = classes.select(F.col("rep").alias("doc"), "n", "nz", "nz_below")
 
     posted = docs.mapInArrow(_postings(n_words, percent, buckets), "kind int, bucket int, keys binary, docs binary")
-    found = scratch.table(posted.groupBy("bucket").applyInArrow(_match, "kind int, a long, b long"), "found")
+    found = scratch.table(posted.groupBy("bucket").applyInArrow(_match, "kind int, a long, b long, level long, n long"), "found")
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    pairs = pairs.join(reps.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(reps.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
-
+    own = F.when(F.col("n") < SMALL, 0).otherwise(F.floor(F.log2(F.col("n") + F.lit(0.5)))).cast("long")
     common = found.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("key")).join(reps, "doc")
     level = F.col("key").bitwiseAND(F.lit(63))
-    own = F.when(F.col("n") < SMALL, 0).otherwise(F.floor(F.log2(F.col("n") + F.lit(0.5)))).cast("long")
     most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
     common = common.groupBy("doc", "n", F.when(level == own, F.col("nz")).otherwise(F.col("nz_below")).alias("cells"), level.alias("level")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    common = common.withColumn("rare", (F.col("cells") - F.size("keys")).cast("int")).withColumn("most", most).where("rare <= most")
+    common = scratch.table(common.withColumn("most", most).withColumn("rare", (F.col("cells") - F.size("keys")).cast("int")), "common")
+    # of a pair that links, all but D of the larger number of cells are shared: the rare ones counted here, the common
+    # ones at most as many as either has
+    sizes = reps.withColumn("own", own)
+    heavy = common.select("doc", "level", F.size("keys").alias("common"))
+    side = lambda x: sizes.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "nz", "nz_below", "own")])
+    extra = lambda x: heavy.select(F.col("doc").alias(x), "level", F.col("common").alias(f"common_{x}"))
+    cells_of = lambda x: F.when(F.col("level") == F.col(f"own_{x}"), F.col(f"nz_{x}")).otherwise(F.col(f"nz_below_{x}"))
+    pairs = found.where("kind = 0").groupBy("a", "b", "level").agg(F.sum("n").alias("shared"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(F.col("n_a"), F.col("n_b")) & (F.col("level") == F.least("own_a", "own_b")))
+    pairs = pairs.join(extra("a"), ["a", "level"], "left").join(extra("b"), ["b", "level"], "left")
+    bound = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    may = F.col("shared") + F.least(F.coalesce("common_a", F.lit(0)), F.coalesce("common_b", F.lit(0)))
+    pairs = pairs.where(may >= F.greatest(cells_of("a"), cells_of("b")) - bound).select("a", "b")
+    common = common.where("rare <= most")
     kept = common.select("doc", "n", "rare", F.explode(F.slice("keys", F.lit(1), F.col("most") + 1 - F.greatest(F.lit(0), F.col("rare")))).alias("key"))
     kept = scratch.table(kept, "kept")
     centres = kept.groupBy("key").agg(F.min(F.struct("rare", "doc", "n")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("nc"))
@@ -270,7 +283,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     pairs = scratch.table(pairs.union(star).distinct(), "pairs")
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(family.select("doc")).distinct()
-    sets = scratch.table(only_ids(spark, docs, ids).mapInArrow(_sets(n_words), "doc_id long, grams binary").dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.table(only_ids(spark, docs, ids).dropDuplicates(["doc_id"]).mapInArrow(_sets(n_words), "doc_id long, grams binary"), "sets")
     with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     links = scratch.table(with_sets.mapInArrow(_verify(percent), "a long, b long"), "links")
 
