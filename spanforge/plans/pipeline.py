@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assertions, document, lattice, lexicon, linking, models, proposals, resolver, retrieval
+from .stages import cut
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,8 @@ def collect(docs: DataFrame, seeds: DataFrame | None, phrases: DataFrame | None,
 def extract(docs: DataFrame, seeds: DataFrame | None = None, phrases: DataFrame | None = None, responder: Callable | None = None, profile: Profile | None = None) -> DataFrame:
     """doc_id, start, end, text, type, sources, subsumes_seed, assertions, reason of the final entities."""
     profile = profile or Profile()
-    pooled = collect(docs, seeds, phrases, responder if profile.use_model else None)
-    opts = lattice.options(pooled, docs)
+    pooled = cut(collect(docs, seeds, phrases, responder if profile.use_model else None))
+    opts = cut(lattice.options(pooled, docs))
     if responder is None or not profile.use_verifier:
         accepted = lattice.verify_without_model(opts)
     else:
@@ -63,7 +64,7 @@ def extract(docs: DataFrame, seeds: DataFrame | None = None, phrases: DataFrame
         done = lattice.apply_verdicts(asked, verdicts, parsed.where("v.failed")).where("accepted").drop("accepted")
         accepted = done.unionByName(large.drop("n", "alone"))
     accepted = accepted.where(F.col("sources") != F.array(F.lit(proposals.ALIAS)))
-    final = resolver.resolve(accepted, docs, document.lines(docs))
+    final = cut(resolver.resolve(cut(accepted), docs, document.lines(docs)))
     final = assertions.assertions(final, docs)
     marks = pooled.where("subsumes_seed").select("doc_id", "start", "end", "type", "subsumes_seed")
     final = final.join(marks, ["doc_id", "start", "end", "type"], "left").withColumn("subsumes_seed", F.coalesce("subsumes_seed", F.lit(False)))
@@ -78,14 +79,15 @@ def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows
     """
     profile = profile or Profile()
     found = document.mention_context(linking.mentions(entities.select("doc_id", "start", "end", "text", "type"), docs), docs)
-    found = found.withColumn("mention_id", F.concat_ws(":", "doc_id", "start", "end", "type"))
+    found = cut(found.withColumn("mention_id", F.concat_ws(":", "doc_id", "start", "end", "type")))
     prompt = models.reformulation_prompt(F.col("type"), F.col("heading"), F.col("previous_sentence"), F.col("current_sentence"), F.col("next_sentence"), F.col("mention"))
     if responder is None:
         said = found.withColumn("reply", F.lit(None).cast("string"))
     else:
         said = models.ask(found.withColumn("prompt", prompt), responder).drop("prompt", "tokens", "hit_limit")
     vi, en, _ = linking.parse_reformulation(F.col("reply"))
-    views = said.select("mention_id", "ontology", "type", "mention", F.explode(linking.views(F.col("mention"), vi, en)).alias("v")).select("mention_id", "ontology", "type", "mention", "v.view", "v.text")
+    said = said.select("mention_id", "ontology", "type", "mention", vi.alias("vi"), en.alias("en"))
+    views = cut(said.select("mention_id", "ontology", "type", "mention", F.explode_outer(linking.views(F.col("mention"), F.col("vi"), F.col("en"))).alias("v"))).select("mention_id", "ontology", "type", "mention", "v.view", "v.text")
     asked = views.select(F.concat_ws("|", "ontology", "text").alias("query_id"), "ontology", F.col("text").alias("query")).distinct()
     own = lambda o, rows: rows.where(F.col("ontology") == o)
     hits = None
@@ -93,7 +95,7 @@ def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows
         part = retrieval.sparse_search(own(o, asked), own(o, posting_rows), own(o, concepts), profile.sparse_top, profile.shortlist).select("query_id", "concept_id", F.lit("sparse_char_ngram").alias("retriever"), "rank")
         hits = part if hits is None else hits.unionByName(part)
     sparse = views.where(F.col("view").isin("raw", "canonical_vi")).select("mention_id", "view", F.concat_ws("|", "ontology", "text").alias("query_id")).join(hits, "query_id")
-    every = sparse.select(F.col("mention_id").alias("query_id"), "concept_id", "retriever", "view", "rank")
+    every = cut(sparse).select(F.col("mention_id").alias("query_id"), "concept_id", "retriever", "view", "rank")
     if dense is not None and encoder is not None:
         vectors = models.encode(asked.select("query_id", "ontology", F.col("query").alias("text")), encoder).select("query_id", "ontology", "vec")
         near = retrieval.dense_topk(vectors, dense, profile.dense_top).select("query_id", "concept_id", F.lit("dense").alias("retriever"), "rank")
@@ -104,8 +106,8 @@ def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows
         exact = part if exact is None else exact.unionByName(part)
     united = retrieval.capped(retrieval.candidate_union(every, exact), profile.cap).withColumnRenamed("query_id", "mention_id")
     united = united.join(found.select("mention_id", "mention", "type", "ontology"), "mention_id")
-    kept = linking.prune(united, concepts, drugs).where("reason is null").drop("reason")
-    opts = linking.option_order(kept)
+    kept = cut(linking.prune(united, concepts, drugs).where("reason is null").drop("reason"))
+    opts = cut(linking.option_order(kept))
     if responder is None:
         chosen = found.select("mention_id", F.lit("NONE").alias("decision"), F.lit(None).cast("string").alias("concept_id"))
     else:

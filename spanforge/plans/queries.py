@@ -750,9 +750,17 @@ def confidence(spark, d):
     return candidate_union(spark, d).select("query_id", "concept_id", linking.confidence(F.col("exact_alias"), F.col("retriever_count"), F.col("view_count")).alias("reason"))
 
 
-@query("SELECT o_orderkey AS doc_id, l_linenumber AS line, CASE WHEN l_returnflag = 'A' THEN CAST(l_partkey AS VARCHAR) END AS code FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One row an order and line number."""
+    return read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"), F.max("l_quantity").alias("l_quantity"))
+
+
+OLINE = "oline AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@query(f"WITH {OLINE} SELECT l_orderkey AS doc_id, l_linenumber AS line, CASE WHEN l_returnflag = 'A' THEN CAST(l_partkey AS VARCHAR) END AS code FROM oline")
 def attach(spark, d):
-    l = read(spark, d, "lineitem").join(read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")  # noqa: E741
+    l = order_lines(spark, d)  # noqa: E741
     rows = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.lit("THUỐC").alias("type"))
     records = l.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.lit("THUỐC").alias("type"), F.array(F.col("l_partkey").cast("string")).alias("candidates"))
     return linking.attach(rows, records).select("doc_id", F.col("start").alias("line"), F.get("candidates", F.lit(0)).alias("code"))
@@ -818,9 +826,9 @@ def derive_codes(spark, d):
     return validation.derive_codes(rows, keep=1, strict=False).select("p_partkey", F.coalesce(F.get("candidates", F.lit(0)), F.lit("?")).alias("code"))
 
 
-@query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS idx, unnest(list_filter([CASE WHEN l_linenumber = 7 THEN 'row' WHEN l_quantity > 45 THEN 'text' END, CASE WHEN l_linenumber < 7 AND l_returnflag = 'R' THEN 'type' END], lambda x: x IS NOT NULL)) AS field FROM lineitem""")
+@query(f"""WITH {OLINE} SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS idx, unnest(list_filter([CASE WHEN l_linenumber = 7 THEN 'row' WHEN l_quantity > 45 THEN 'text' END, CASE WHEN l_linenumber < 7 AND l_returnflag = 'R' THEN 'type' END], lambda x: x IS NOT NULL)) AS field FROM oline""")
 def derivation_diff(spark, d):
-    rows = read(spark, d, "lineitem")
+    rows = order_lines(spark, d)
     key = [F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("idx")]
     a = rows.select(*key, F.col("l_quantity").cast("string").alias("text"), F.col("l_returnflag").alias("type"), F.array(F.lit("x")).alias("candidates"))
     text = F.when(F.col("l_quantity") > 45, "changed").otherwise(F.col("l_quantity").cast("string"))
