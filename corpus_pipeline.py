@@ -24,7 +24,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays; of its repeated rows one."""
-    found = Scratch(spark, "groups").table(ngram_join.near_duplicates(spark, docs), "found")
+    work = Scratch(spark, "ngrams")
+    found = Scratch(spark, "groups").table(ngram_join.near_duplicates(spark, docs, scratch=work), "found")
+    work.drop()
     out = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():

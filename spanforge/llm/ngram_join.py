@@ -238,9 +238,9 @@ def _block(percent: int):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs(doc_id, text)."""
-    scratch = Scratch(spark, "ngrams")
+def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs(doc_id, text). Who gives the scratch can drop it after the result is written."""
+    scratch = scratch or Scratch(spark, "ngrams")
     docs = docs.select("doc_id", "text")
     meta = scratch.table(docs.mapInArrow(_meta(n_words, percent), "doc_id long, n long, d1 long, d2 long, nz long, nz_below long"), "meta")
     total = meta.agg(F.sum(F.col("nz") + F.col("nz_below"))).first()[0] or 0

@@ -71,7 +71,7 @@ def unpack_block(data: bytes) -> np.ndarray:
 #: Words of these signs have pieces that are plain to find: runs of letters, and runs of the rest.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?*#$%&()\[\]\"/@_+=-]+")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
-WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+WORDS_KEPT, PIECES_KEPT = 150_000, 300_000
 
 
 def _byte_signs() -> dict[int, str]:
