@@ -203,13 +203,13 @@ class Words:
         return self.doc[:n] == self.doc[size - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def passes(batch: pa.RecordBatch, column: str = "text"):
+def passes(batch: pa.RecordBatch, column: str = "text", most: int = PASS_BYTES):
     """Slices of an Arrow batch whose texts fit one numpy pass."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
-        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + PASS_BYTES, "right"))
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
         end = max(at + 1, end)
         yield batch.slice(at, end - at)
         at = end

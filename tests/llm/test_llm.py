@@ -185,6 +185,36 @@ def test_urls(spark):
     assert (got[5004]["host"], got[5004]["path"], got[5004]["rule"], got[5004]["verdict"]) == ("a.example.org", "/es/x", "example.org/es/", "block")
 
 
+def test_url_models_are_exact(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(20))
+    rows = [(k, rng.choice(["http://a.org/{}", "http://b.com/de/{}", "http://c.net/{}"]).format(word())) for k in range(4000)] + [(4000, ""), (4001, None)]
+    rules = (("allow", "org", "/"), ("block", "com", "/de/"))
+    got = {r["page_id"]: r["score"] for r in urls.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string").repartition(3), rules).collect()}
+    counts, total = [{}, {}], [0, 0]
+    for k, u in rows:
+        side = 0 if "a.org" in (u or "") else 1 if "b.com" in (u or "") else None
+        if side is not None and zlib.crc32(str(k).encode()) % 5:
+            b = u.encode()
+            total[side] += len(b)
+            for i in range(len(b)):
+                for n in range(1, min(6, i + 1) + 1):
+                    g = b[i + 1 - n : i + 1]
+                    counts[side][g] = counts[side].get(g, 0) + 1
+    assert len(set(counts[0]) | set(counts[1])) > 1 << 17  # more grams than any fixed table had
+    for k, u in rows:
+        b, want = (u or "").encode(), 0.0
+        for i in range(len(b)):
+            for side, sign in ((0, 1), (1, -1)):
+                p = 1 / 256
+                for n in range(1, min(6, i + 1) + 1):
+                    c = counts[side].get(b[i + 1 - n : i + 1], 0)
+                    context = counts[side].get(b[i + 1 - n : i], 0) if n > 1 else total[side]
+                    p = (c + 4 * p) / (max(context, c) + 4)
+                want += sign * np.log(p)
+        assert abs(got[k] - want / max(len(b), 1)) < 1e-9
+
+
 def test_gradients_are_right():
     net = language.BiGru(3, hidden=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
