@@ -121,8 +121,11 @@ def _postings(n_words: int, percent: int, buckets: int):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 found = [cells(owner, grams, level_of(n)), cells(owner, grams, np.where(has_below(n, percent), np.where(n < 2 * SMALL, 0, level_of(n) - 1), -1))]
                 docs, keys = ids[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found])
-                order = np.argsort(keys, kind="stable")
+                order = np.lexsort((docs, keys))
                 docs, keys = docs[order], keys[order]
+                if len(keys):  # repeated rows are one posting, or their rank would make a rare value look common
+                    once = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))
+                    docs, keys = docs[once], keys[once]
                 new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
                 rank = np.arange(len(keys)) - np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
                 # of a value that is common even here, RARE postings say so to its bucket; the others are known to be common

@@ -67,6 +67,19 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.near_duplicates(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("n_copies", [5, 9])
+def test_ngram_join_of_repeated_rows(spark, n_copies):
+    rng = random.Random(n_copies)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for d in range(n_copies):
+        w = list(base)
+        w[10 + 20 * d] = f"new{d}"
+        rows += [(5 + d, " ".join(w))] * 2
+    out = ngram_join.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(d, 5) for d, _ in rows]
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(2)
     for n in (0, 1, 9, 70000):
