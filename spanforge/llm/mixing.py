@@ -5,9 +5,13 @@ Domains are made from labels(doc_id, quality, toxic): `toxic` if toxic is 1, els
 classifier is a softmax regression on hashed words of the whole text, fitted in numpy on a bounded sample of LABELLED
 rows, chosen by a hash.
 
-The rates minimise the squared distance of the expected totals from the targets, starting from 1 for every document.
-One round needs one aggregate of as many numbers as there are domains: every rate is a function of a document's own
-posterior and of the rounds' steps so far, so no rate is stored between rounds and a lost executor costs nothing.
+The rates minimise the squared distance of the expected totals from the targets, starting from 1 for every document, and
+have no upper bound unless one is given. Steps along the gradient, scaled by the second moments of the rates that can
+move, are summed and the sum is projected once (lazy projection), so the rate is a function of a document's own
+posterior and of one number a domain: no rate is stored between rounds and a lost executor costs nothing. A round needs
+one aggregate. A small weight holds the rates near 1; it falls tenfold until the projected gradient is under a
+tolerance, and further while targets that can be met come nearer. Targets that can't be met (no toxic token at all,
+where every posterior is positive) end at the tolerance; what is missed is logged.
 
 Defined results: null and empty texts have no tokens and the prior posterior; null labels are ignored; without labels
 or tokens all rates are 1; a domain without a label has posterior 0; repeated rows each get the same rate; an empty
@@ -16,6 +20,7 @@ table gives no rows; extra columns stay in with_posteriors().
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -31,6 +36,7 @@ LABELLED = 6000
 FEATURES = 1 << 15
 WEIGHTS = {"high": 0.75, "low": 0.25, "toxic": 0.0}
 _U = np.uint64
+_LOG = logging.getLogger(__name__)
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -124,43 +130,62 @@ def with_posteriors(spark: SparkSession, docs: DataFrame, model: Softmax | None)
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *types]))
 
 
-def rate_column(steps: list[np.ndarray], most: float) -> Column:
-    """The rate after the given rounds: each moves against the step, then back into [0, most]."""
-    ps = [F.col(f"p_{d}") for d in DOMAINS]
-    move = lambda v: reduce(lambda a, b: a + b, [p * F.lit(float(x)) for p, x in zip(ps, v, strict=True)])
-    return reduce(lambda r, v: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - move(v))), steps, F.lit(1.0))
+def _pulled(pull: np.ndarray) -> Column:
+    """The rate before it is projected: 1 moved against the sum of all steps so far."""
+    return reduce(lambda a, b: a - b, [F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(DOMAINS, pull, strict=True)], F.lit(1.0))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] | None, weights: dict[str, float] | None = None, most: float = 4.0, rounds: int = 16) -> tuple[Column, dict[str, dict[str, float]]]:
+def rate_column(pull: np.ndarray, most: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), _pulled(pull))
+    return rate if most is None else F.least(F.lit(float(most)), rate)
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float] | None, weights: dict[str, float] | None = None, most: float | None = None, tolerance: float = 1e-3) -> tuple[Column, dict[str, dict[str, float]]]:
     """(rate column over p_<domain>, totals by domain: now, target, fitted) for members(n_tokens, p_<domain>).
 
-    targets: token totals by domain; or weights, of which the corpus' tokens make totals. most: the greatest rate.
-    A round steps along the gradient, scaled by the domains' second moments, half as far as long as that makes it worse.
+    targets: token totals by domain; or weights, of which the corpus' tokens make totals. most: the greatest rate, None
+    for no bound. tolerance: the projected gradient, a token of the corpus, under which the fit ends.
     """
     t, ps = F.col("n_tokens"), [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
-    first = members.agg(F.sum(t), *[F.sum(t * p) for p in ps], *[F.sum(t * a * b) for a in ps for b in ps]).first()
+    first = members.agg(F.sum(t), *[F.sum(t * p) for p in ps]).first()
     total = float(first[0] or 0)
     if not total:
         return F.lit(1.0), {}
-    now = np.array(first[1 : k + 1], float)
-    moments = np.array(first[k + 1 :], float).reshape(k, k) / total
+    now = np.array(first[1:], float)
     goal = np.array([float(targets[d]) if targets else total * weights[d] for d in DOMAINS])
-    inverse = np.linalg.inv(moments + 1e-6 * np.eye(k))
-    steps, at, scale = [], now, 1.0
-    for _ in range(rounds):
-        gap = (at - goal) / total
-        if np.abs(gap).max() < 1e-6:
+
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """What the rates of a pull sum up to: value, totals, second moments and greatest rate of those that can move."""
+        u, r = _pulled(pull), rate_column(pull, most)
+        free = (u > 0) if most is None else (u > 0) & (u < most)
+        moments = [F.sum(F.when(free, t * x * y)) for x in ps for y in ps]
+        row = members.agg(F.sum(t * (r * u - r * r / 2)), F.max(F.when(t > 0, r)), *[F.sum(r * t * p) for p in ps], *moments).first()
+        return float(row[0]) / total, np.array(row[2 : k + 2], float) / total, np.array([x or 0 for x in row[k + 2 :]], float).reshape(k, k) / total, float(row[1])
+
+    pull, keep, before = np.zeros(k), 1e-2, np.inf
+    value, at, moments, greatest = look(pull)
+    while True:
+        for _ in range(100):  # to the rates that are best for this weight of staying near 1
+            slope = goal / total - at + keep * pull
+            if np.abs(slope).max() < 1e-9 + 1e-3 * keep * np.abs(pull).max():
+                break
+            step, scale = -np.linalg.solve(moments + keep * np.eye(k), slope), 1.0
+            whole = value + pull @ goal / total + keep / 2 * pull @ pull
+            while True:
+                new = pull + scale * step
+                seen = look(new)
+                if seen[0] + new @ goal / total + keep / 2 * new @ new <= whole + 1e-4 * scale * (slope @ step) or scale < 1e-6:
+                    break
+                scale /= 2
+            pull, (value, at, moments, greatest) = new, seen
+        gap = np.abs(at - goal / total).max()
+        # targets that can be met come nearer in proportion to keep; others end at the tolerance
+        if gap < 1e-6 or keep < 1e-9 or (keep * max(1.0, greatest - 1) < tolerance and gap > 0.3 * before):
             break
-        step = scale * (inverse @ gap)
-        r = rate_column([*steps, step], most)
-        new = np.array(members.agg(*[F.sum(r * t * p) for p in ps]).first(), float)
-        if np.square(new - goal).sum() < np.square(at - goal).sum():
-            steps.append(step)
-            at = new
-        else:
-            scale /= 2
-    return rate_column(steps, most), {d: {"now": now[i], "target": goal[i], "fitted": at[i]} for i, d in enumerate(DOMAINS)}
+        keep, before = keep / 10, gap
+    totals = {d: {"now": now[i], "target": goal[i], "fitted": at[i] * total} for i, d in enumerate(DOMAINS)}
+    return rate_column(pull, most), totals
 
 
 def copies_of(rate: Column, rounding: str = "hash") -> Column:
@@ -179,6 +204,8 @@ def op3_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_classifier(spark, docs, table(spark, sf_dir, "labels"))
     members = Scratch(spark, "mixing").table(with_posteriors(spark, docs, model).drop("text"), "members")
-    rate, _ = fit_rates(members, None, WEIGHTS)
+    rate, totals = fit_rates(members, None, WEIGHTS)
+    for d, x in totals.items():
+        _LOG.log(logging.WARNING if abs(x["fitted"] - x["target"]) > 1e-3 * sum(y["target"] for y in totals.values()) else logging.INFO, "%s: %.0f tokens, target %.0f, fitted %.0f", d, x["now"], x["target"], x["fitted"])
     members = members.withColumn("rate", rate)
     return members.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", copies_of(F.col("rate")).alias("copies"))

@@ -260,3 +260,17 @@ def test_mixing(spark, docs, empty):
     assert members.select(rate.alias("r")).where("r < 0").count() == 0
     assert mixing.fit_classifier(spark, empty, spark.read.parquet(f"{d}/labels.parquet")) is None
     assert mixing.fit_rates(mixing.with_posteriors(spark, empty, None), None, mixing.WEIGHTS)[1] == {}
+
+
+def test_rates_meet_targets_that_can_be_met(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([3, 0.2, 0.3], 2000)
+    members = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(rng.integers(1, 400, 2000), p, strict=True)], "n_tokens long, p_high double, p_low double, p_toxic double").coalesce(2).cache()
+    for weights in ({"high": 0.75, "low": 0.25, "toxic": 0.01}, {"high": 0.4, "low": 0.55, "toxic": 0.05}):
+        rate, totals = mixing.fit_rates(members, None, weights)
+        total = sum(x["now"] for x in totals.values())
+        said = members.select(rate.alias("r"), "*").selectExpr("min(r) least", *[f"sum(r * n_tokens * p_{d}) {d}" for d in mixing.DOMAINS]).first()
+        assert said["least"] >= 0
+        for d, x in totals.items():
+            assert abs(said[d] - x["target"]) < 1e-4 * total and abs(said[d] - x["fitted"]) < 1e-6 * total
+    assert members.select(mixing.fit_rates(members, None, weights, most=2.0)[0].alias("r")).where("r > 2").count() == 0
