@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 #: Bytes of text that one numpy pass holds at most (a single longer text is still taken whole).
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 
 _U = np.uint64
 
@@ -36,6 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def give_back() -> None:
+    """Return what this Python worker holds no more to the system: workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidy(run):
+    """run (batches to batches), after which the worker gives its memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -75,6 +100,7 @@ def id_filter(spark: SparkSession, ids: DataFrame) -> np.ndarray:
     n = ids.count()
     bits = min(FILTER_BITS, max(1 << 10, 1 << int(16 * n).bit_length()))
 
+    @tidy
     def run(batches):
         for batch in batches:
             at = _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits)
@@ -98,6 +124,7 @@ def only_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is one of ids (doc_id): the filter in each task, then the exact semi-join. Null ids go."""
     sent = spark.sparkContext.broadcast(id_filter(spark, ids.select("doc_id")))
 
+    @tidy
     def run(batches):
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("doc_id")))
@@ -107,6 +134,23 @@ def only_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema).join(ids, "doc_id", "left_semi")
 
 
+def without_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is none of ids (doc_id), null ids included. Only rows that the filter lets pass are shuffled."""
+    sent = spark.sparkContext.broadcast(id_filter(spark, ids.select("doc_id")))
+
+    def picked(inside: bool) -> DataFrame:
+        @tidy
+        def run(batches):
+            for batch in batches:
+                column = batch.column("doc_id")
+                found = in_filter(sent.value, pc.fill_null(column, 0).to_numpy(zero_copy_only=False)) & pc.is_valid(column).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found if inside else ~found))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return picked(False).union(picked(True).join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,19 +17,20 @@ each; an empty table gives no blocks and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 
 BLOCK_IDS = 1 << 16
 END_ID = 1
@@ -68,10 +69,29 @@ def unpack_block(data: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- encoding
 
-#: Words of these signs have pieces that are plain to find: runs of letters, and runs of the rest.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?*#$%&()\[\]\"/@_+=-]+")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
-WORDS_KEPT, PIECES_KEPT = 150_000, 300_000
+#: Signs whose words have pieces that are plain to find: runs of letters, and runs of the rest.
+_LETTERS = "a-zß-öø-ÿ"
+_SIGNS = rf"A-ZÀ-ÖØ-Þ{_LETTERS}.,;:!?*#$%&()\[\]\"/@_+=\-"
+_ENDS = r" \t\n\x0b\f\r"
+#: A word with any other sign: the tokenizer itself cuts it.
+_OTHER = re.compile(rf"((?<![^{_ENDS}])[{_SIGNS}]*+[^{_SIGNS}{_ENDS}][^{_ENDS}]*+)")
+_ODD = re.compile(f"[^{_SIGNS}{_ENDS}]")
+_PIECE = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}{_ENDS}]+")
+_END = re.compile(rf"[{_ENDS}]")
+#: The normalizer, pre-tokenizer and word end that the two expressions above restate.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+PIECES_KEPT = 400_000
+#: Code points of a text that are cut into pieces at a time (a longer word is taken whole).
+STRETCH = 1 << 20
 
 
 def _byte_signs() -> dict[int, str]:
@@ -81,55 +101,73 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder:
-    """Encodes texts word by word: no piece of this tokenizer crosses white space, so equal words have equal ids.
+class _Kept(dict):
+    """Ids by piece or word, up to a fixed number; a missing one is made."""
 
-    Distinct words and pieces are kept between texts (and between tasks of a worker), up to a fixed number.
-    """
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
 
-    made: dict[str, WordEncoder] = {}
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.signs = _byte_signs()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+@functools.cache
+def _loaded(path: str):
+    """(tokenizer, whether its rules are the known ones): one for each worker, as its memory doesn't come back whole."""
+    from tokenizers import Tokenizer
 
-    @classmethod
-    def at(cls, path: str) -> WordEncoder:
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    return Tokenizer.from_file(path), all(rules.get(k) == v for k, v in _KNOWN.items()) and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+
+
+class PieceEncoder:
+    """Encodes texts. Where the tokenizer's rules are the known ones, no piece crosses white space, so equal pieces have
+    equal ids and each distinct one is looked up in the model once; other tokenizers get whole texts."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.known = _loaded(path)
+        self.model = self.tokenizer.model
+        self.signs = _byte_signs()
+        self.pieces, self.others = _Kept(self._piece, PIECES_KEPT), _Kept(self._whole, PIECES_KEPT // 8)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
-            signs = "".join(self.signs[b] for b in piece.encode())
-            found = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
-        return found
+        signs = "".join([self.signs[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self._piece, _PIECE.findall(text.lower())))
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _stretch(self, text: str) -> bytes:
+        out, piece = [], self.pieces.__getitem__
+        if not _ODD.search(text):
+            return b"".join(map(piece, _PIECE.findall(text.lower())))
+        for k, part in enumerate(_OTHER.split(text)):
+            if k % 2:
+                out.append(self.others[part])
+            elif part:
+                out.extend(map(piece, _PIECE.findall(part.lower())))
+        return b"".join(out)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words, kept = (text or "").encode("utf-8", "surrogatepass").split(), self.words
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            if len(kept) >= WORDS_KEPT:
-                kept.clear()
-            for w in words:
-                if w not in kept:
-                    kept[w] = self._word(w)
-            return b"".join([kept[w] for w in words])
+        text = text or ""
+        if not self.known:
+            return self._whole(text)
+        if len(text) <= STRETCH:
+            return self._stretch(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = _END.search(text, at + STRETCH)
+            end = cut.start() if cut else len(text)
+            out.append(self._stretch(text[at:end]))
+            at = end
+        return b"".join(out)
 
 
 BLOCKS = "shard int, block int, first long, n_ids int, payload binary, doc_ids array<long>, ordinals array<long>, offsets array<long>, counts array<long>, lasts array<boolean>"
@@ -138,8 +176,9 @@ BLOCKS = "shard int, block int, first long, n_ids int, payload binary, doc_ids a
 def _encoder(path: str, end_id: int, block_ids: int, kind: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches):
-        shard, encoder = TaskContext.get().partitionId(), WordEncoder.at(path)
+        shard, encoder = TaskContext.get().partitionId(), PieceEncoder(path)
         pending, held, pieces, block, ordinal = [], 0, [], 0, 0
 
         def row(blob: bytes):
@@ -151,12 +190,11 @@ def _encoder(path: str, end_id: int, block_ids: int, kind: int):
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                left, done = encoder.encode(text.as_py()) + end, 0
-                while left:
-                    room = 4 * (block_ids - held)
-                    now, left = left[:room], left[room:]
+                ids, done = memoryview(encoder.encode(text.as_py()) + end), 0
+                while 4 * done < len(ids):
+                    now = ids[4 * done : 4 * (done + block_ids - held)]
                     pending.append(now)
-                    pieces.append((doc, ordinal, done, len(now) // 4, not left))
+                    pieces.append((doc, ordinal, done, len(now) // 4, 4 * done + len(now) == len(ids)))
                     held, done = held + len(now) // 4, done + len(now) // 4
                     if held == block_ids:
                         yield row(b"".join(pending))
@@ -205,6 +243,7 @@ def join_crc(first: int, second: int, size: int) -> int:
 PIECES = "shard int, ordinal long, doc_id long, offset long, n long, crc long, at long, whole boolean"
 
 
+@tidy
 def _pieces(batches):
     for batch in batches:
         out = []
@@ -220,19 +259,28 @@ def _pieces(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _joined(pieces: pd.DataFrame) -> pd.DataFrame:
-    pieces = pieces.sort_values("offset")
-    crc, n = 0, 0
-    for c, size in zip(pieces["crc"], pieces["n"], strict=True):
-        crc, n = join_crc(crc, int(c), 4 * int(size)) if n else int(c), n + int(size)
-    return pieces.head(1).assign(n=n, crc=crc)[["shard", "doc_id", "n", "crc", "at"]]
+@tidy
+def _joined(batches):
+    """One row of a document from its pieces, sorted by offset."""
+    for batch in batches:
+        n, crc = [], []
+        for pieces in batch.column("pieces").to_pylist():
+            size, whole = pieces[0]["n"], pieces[0]["crc"]
+            for p in pieces[1:]:
+                whole, size = join_crc(whole, p["crc"], 4 * p["n"]), size + p["n"]
+            n.append(size)
+            crc.append(whole)
+        at = pa.array([p[0]["at"].as_py() for p in batch.column("pieces")], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), at], ["shard", "doc_id", "n", "crc", "at"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the files."""
-    pieces = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(_pieces, PIECES)
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the files. Every block is unpacked once."""
+    pieces = Scratch(spark, "pieces").table(spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(_pieces, PIECES), "pieces")
     whole = pieces.where("whole").select("shard", "doc_id", "n", "crc", "at")
-    cut = pieces.where("not whole").groupBy("shard", "ordinal").applyInPandas(_joined, "shard int, doc_id long, n long, crc long, at long")
+    # a piece for each block that a document touches
+    cut = pieces.where("not whole").groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("offset", "n", "crc", "at"))).alias("pieces"))
+    cut = cut.select("shard", "doc_id", "pieces").mapInArrow(_joined, "shard int, doc_id long, n long, crc long, at long")
     sizes = spark.read.parquet(f"{path}/index").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # one row a shard
     before, starts = 0, []
     for r in sizes:
@@ -245,6 +293,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, offset, ids) pieces of the stored documents."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             docs, offsets, ids = [], [], []
