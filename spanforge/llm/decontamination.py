@@ -5,35 +5,44 @@ k = floor(RATE * L) edits; it is cut into k + 1 pieces, so an occurrence within
 Aho-Corasick automaton finds all pieces in a text; around each hit Myers' bit-parallel algorithm finds the least edit
 distance of the whole item. Items whose budget is 0 must stand between word ends.
 
-The items are sent to tasks in blocks of at most BLOCK_CHARS code points or so, one pass over the documents for each.
-
-Defined results: null and empty texts match nothing; null and empty items are skipped; repeated rows give their matches
-each; empty tables give no rows; extra columns stay in with_matches().
+The items are sent to tasks in blocks of about BLOCK_CHARS code points, one pass over the documents for each, and the
+driver holds one block at a time. A found end is extended back to the true start by the same algorithm on the reversed
+strings.
+
+Defined results: null and empty texts match nothing; null and empty items are skipped; an item whose id is null is
+matched like any other and reported with a null id; repeated items and repeated rows give their matches each; of
+occurrences of one item with equal distance the first counts; empty tables give no rows; extra columns, of any name,
+are ignored by matches_of() and stay in without_matches().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import Scratch, table, tidy
 
 RATE = 0.06
 BLOCK_CHARS = 4_000_000
 
-MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType()), T.StructField("budget", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_MATCH = pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("budget", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+NAMES = ("item_id", "distance", "budget", "start", "end")
 
 
 def plain(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def myers(pattern: str, masks: dict[str, int], text: str) -> tuple[int, int]:
-    """(least edit distance of the pattern to a substring of text, the first end of such a substring)."""
+def myers(pattern: str, masks: dict[str, int], text: str, anchored: bool = False) -> tuple[int, int]:
+    """(least edit distance of the pattern to a substring of text, the first end of such a substring).
+
+    anchored: the substring starts where the text does.
+    """
     m = len(pattern)
     last, full = 1 << (m - 1), (1 << m) - 1
     pv, mv, score, best, where = full, 0, m, m, 0
@@ -44,7 +53,7 @@ def myers(pattern: str, masks: dict[str, int], text: str) -> tuple[int, int]:
         ph = mv | ~(xh | pv) & full
         mh = pv & xh
         score += bool(ph & last) - bool(mh & last)
-        ph = (ph << 1) & full  # an occurrence may start anywhere
+        ph = (ph << 1 | anchored) & full  # unless anchored, an occurrence may start anywhere
         mh = (mh << 1) & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
@@ -69,7 +78,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = []
         hits: dict[str, list[tuple[int, int]]] = {}
-        for item, raw in sorted(items):
+        for item, raw in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             if pattern := plain(raw):
                 budget = int(rate * len(pattern))
                 for offset, piece in pieces(pattern, budget):
@@ -111,39 +120,65 @@ class Matcher:
             for lo, hi in windows:
                 distance, where = myers(pattern, masks, text[lo:hi])
                 if distance < best[0]:
-                    best = (distance, max(lo, lo + where - m), lo + where)
+                    best = (distance, lo, lo + where)
+            if 0 < budget >= best[0]:  # from the end back to the start
+                reach = text[max(best[1], best[2] - m - budget) : best[2]]
+                back = myers(pattern[::-1], masks_of(pattern[::-1]), reach[::-1], anchored=True)[1]
+                best = (best[0], best[2] - back, best[2])
             if best[0] <= budget:
                 out.append((item, best[0], budget, best[1], best[2]))
         return out
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """All items, in blocks by a hash of their id."""
+def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """All items, in blocks by a hash of their id and text; one block is fetched at a time."""
     items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS) or 1
-    part = lambda k: items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-    return [[(r["item_id"], r["text"]) for r in part(k).collect()] for k in range(n)]
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
-def with_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE, name: str = "matches") -> DataFrame:
-    """docs with an array of matches appended."""
-    columns = docs.columns
-    out = docs
-    for k, items in enumerate(blocks_of(benchmark)):
+def matches_of(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, item_id, distance, budget, start, end) of docs(doc_id, text); places are those in the folded text."""
+    docs = docs.select("doc_id", "text")
+
+    def searched(items: list[tuple[int | None, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)  # a block, of bounded size
 
-        def run(batches, sent=sent, k=k):
+        @tidy
+        def run(batches):
+            matcher = Matcher(sent.value, rate)
+            for batch in batches:
+                ids, found = [], []
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    here = matcher.matches(text.as_py())
+                    ids += [doc] * len(here)
+                    found += here
+                columns = list(zip(*found, strict=True)) or [[]] * len(NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *NAMES])
+
+        return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in NAMES)]))
+
+    return reduce(DataFrame.union, map(searched, blocks_of(benchmark)))
+
+
+def without_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """docs that hold no item within its edit budget. From the second block of items on, what is left is a table."""
+    scratch, out = Scratch(spark, "clean"), docs
+    for k, items in enumerate(blocks_of(benchmark)):
+        sent = spark.sparkContext.broadcast(items)
+
+        @tidy
+        def run(batches, sent=sent):
             matcher = Matcher(sent.value, rate)
             for batch in batches:
-                found = [[dict(zip(MATCH.names, x, strict=True)) for x in matcher.matches(t)] for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_MATCH))], [*batch.schema.names, f"__{k}"])
+                yield batch.filter(pa.array([not matcher.matches(t.as_py()) for t in batch.column("text")], pa.bool_()))
 
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(f"__{k}", T.ArrayType(MATCH))]))
-    new = [c for c in out.columns if c not in columns]
-    return out.select(*columns, F.concat(*new).alias(name))
+        out = (scratch.table(out, f"block-{k}") if k else out).mapInArrow(run, docs.schema)
+    return out
 
 
 def op7_pigeonhole_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_matches(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return matches_of(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
