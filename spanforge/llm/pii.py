@@ -1,24 +1,30 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
-Seeds are the spans of four fixed expressions. Every word with a digit or an @ is a candidate; the words at its left and
-right induce lexical patterns. Spark scores the graph of patterns and instances in a few rounds: a pattern is as sure as
-the share of its occurrences that are known instances of a kind, and a sure pattern with wide support lends its score to
-the unseen instances that it surrounds, if their shape is one of the kind. What ends over the threshold is added.
+Seeds are the spans of four fixed expressions. They, and every other word with a digit or an @, are the instances of a
+graph; the words at their left and right are its patterns. Spark scores the graph in a few rounds: a pattern is as sure
+as the mean score of the distinct instances that it surrounds, where a seed counts 1 and an unseen instance its score so
+far; an unseen instance is worth its surest pattern times how far its shape is like the shapes of the kind's seeds. What
+ends over the threshold is added.
+
+Shapes are soft: digits and letters become 9 and a, runs become two signs, and likeness is the share of the pairs of
+neighbouring signs that enough seeds of the kind have as well. So an address without a dot, or a number with a letter in
+it, can be found where its context is sure.
 
 Each expression is used in a form without backtracking that finds the same spans: a repeat that nothing can follow is
-possessive, and a search never starts inside a run in which it has failed already, so very long texts cost linear time.
+possessive, and a search never starts inside a run in which it has failed already. Places add up in blocks of BLOCK
+hits, so a text of many hits costs little more than its length.
 
 Defined results: null and empty texts have no spans; repeated rows each give a row; an empty table gives no rows; extra
-columns are ignored; spans of different kinds may overlap, added spans never overlap another span.
+columns are ignored; spans of different kinds may overlap, added spans never overlap a base span; of kinds with equal
+scores the one listed first counts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import NOT_WS, Scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,20 +41,30 @@ EXPRESSIONS = {
 }
 #: What a text holds if the expression can match at all; cheaper to test.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = rf"(?<!{NOT_WS}){NOT_WS}*[0-9@]{NOT_WS}*+"
+#: A word with a digit or an @, up to its last letter, digit or @.
+CANDIDATE = rf"(?<!{NOT_WS}){NOT_WS}*[0-9@](?:{NOT_WS}*[\p{{L}}\p{{N}}])?"
+#: Hits whose places are added up at a time.
+BLOCK = 256
 
-_EMPTY = "array<struct<start:int,end:int,text:string>>"
+_HITS = "array<struct<start:int,end:int,text:string,left:string,right:string>>"
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 def found(text: Column, regex: str) -> Column:
-    """All matches with code-point offsets: the gaps of split() and the matches themselves add up to the places."""
-    both = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hit"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("int").alias("at"),
-        F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).cast("int").alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).cast("int").alias("end"), x["hit"].alias("text"))))).alias("out"),
+    """All matches with code-point offsets and the words beside them (up to two at the left, one at the right)."""
+    flat = lambda gap: F.lower(F.translate(gap, "\t\n\x0b\f\r", "     "))
+    beside = lambda gap: F.struct(F.length(gap).alias("n"), F.substring_index(F.rtrim(flat(gap)), " ", -2).alias("last"), F.substring_index(F.ltrim(flat(gap)), " ", 1).alias("first"))
+    one = lambda at, gap, hit, after: F.struct(
+        (at + gap["n"]).cast("int").alias("start"), (at + gap["n"] + F.length(hit)).cast("int").alias("end"), hit.alias("text"), gap["last"].alias("left"), after["first"].alias("right")
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"]["n"] + F.length(x["hit"])).cast("int").alias("at"), F.concat(acc["out"], F.array(one(acc["at"], x["gap"], x["hit"], x["after"]))).alias("out"))
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast(_HITS).alias("out"))
+    block = lambda rows, acc, k: F.aggregate(F.slice(rows, k * BLOCK + 1, F.lit(BLOCK)), zero(acc["at"]), step)
+    add = lambda acc, part: F.struct(part["at"].alias("at"), F.concat(acc["out"], part["out"]).alias("out"))
+    blocks = lambda rows: F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    whole = lambda rows: F.aggregate(blocks(rows), zero(F.lit(0)), lambda acc, k: let(block(rows, acc, k), lambda part: add(acc, part)), lambda acc: acc["out"])
+    zipped = lambda gaps, hits: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(hits)).alias("after"))
+    return let(F.transform(F.split(text, regex, -1), beside), lambda gaps: let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda hits: let(zipped(gaps, hits), whole)))
 
 
 def _digits(text: Column) -> Column:
@@ -83,7 +99,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     for kind in KINDS:
         may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9]")
         hits = F.filter(found(text, EXPRESSIONS[kind]), _keeper(kind))
-        out[kind] = F.when(may, hits).otherwise(F.array().cast(_EMPTY))
+        out[kind] = F.when(may, hits).otherwise(F.array().cast(_HITS))
     return out
 
 
@@ -91,57 +107,81 @@ def _said(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
 
-def _shape(text: Column) -> Column:
-    """Digits as 9, letters as a, in runs of at most two signs: what instances of a kind look like."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(text, 1, 80), r"[0-9]", "9"), r"\p{L}", "a"), r"(.)\1+", "$1$1")
+def shape_pairs(text: Column) -> Column:
+    """The distinct pairs of neighbouring signs of a text's shape, its ends included."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[0-9]", "9"), r"\p{L}", "a"), r"(.)\1+", "$1$1")
+    return let(F.concat(F.lit("^"), shape, F.lit("$")), lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, 2))))
 
 
-def extract(spark: SparkSession, docs: DataFrame, rounds: int = 3, confidence: float = 0.95, support: int = 25) -> tuple[DataFrame, DataFrame]:
+def _patterns() -> Column:
+    """The lexical patterns of an occurrence: the word at its left, the two there, the word at its right, both sides."""
+    last = F.substring_index("left", " ", -1)
+    some = [
+        F.when(last != "", F.concat(F.lit("l "), last)),
+        F.when(F.contains("left", F.lit(" ")), F.concat(F.lit("ll "), F.col("left"))),
+        F.when(F.col("right") != "", F.concat(F.lit("r "), F.col("right"))),
+        F.when((last != "") & (F.col("right") != ""), F.concat_ws(" ", F.lit("lr"), last, "right")),
+    ]
+    return F.filter(F.array(*some), lambda p: p.isNotNull())
+
+
+def extract(spark: SparkSession, docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5, threshold: float = 0.6, common: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, base spans by kind) and the added spans (row, kind, start, end, text, score).
 
-    confidence: the least score of a pattern, and of an instance that is added. support: the least number of different
-    known instances that a pattern must surround.
+    confidence: the least score of a pattern. support: the least number of different seeds that it must surround.
+    threshold: the least score of an added instance. common: the share of a kind's seeds that must have a pair of signs.
     """
     scratch = Scratch(spark, "pii")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
+    words = F.when(F.col("text").rlike("[0-9@]"), found(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_HITS))
     spans = base_spans(F.col("text"))
-    pieces = F.split(F.col("text"), CANDIDATE, -1)
-    rows = rows.withColumn("has", F.col("text").rlike("[0-9@]"))
-    word = F.when(F.col("has"), found(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_EMPTY))
-    flat = lambda gap: F.lower(F.translate(gap, "\t\n\x0b\f\r", "     "))
-    near = F.when(F.col("has"), F.transform(pieces, lambda gap: F.struct(F.substring_index(F.rtrim(flat(gap)), " ", -1).alias("last"), F.substring_index(F.ltrim(flat(gap)), " ", 1).alias("first"))))
-    rows = rows.select("doc_id", *[spans[k].alias(k) for k in KINDS], word.alias("word"), near.alias("near"))
-    rows = rows.withColumn("seen", F.transform("word", lambda w, i: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text"), F.col("near")[i]["last"].alias("left"), F.col("near")[i + 1]["first"].alias("right"))))
-    rows = scratch.table(rows.select("doc_id", *KINDS, "seen").withColumn("row", F.monotonically_increasing_id()), "rows")
-
-    touches = lambda w, kind: F.exists(kind, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
-    kind = reduce(lambda rest, k: F.when(touches(F.col("w"), k), F.lit(k)).otherwise(rest), reversed(KINDS), F.lit(None).cast("string"))
-    seen = rows.where(F.size("seen") > 0).select("row", *KINDS, F.explode("seen").alias("w")).select("row", "w.*", kind.alias("kind"))
-    sides = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"))
-    edges = seen.select("text", "kind", F.explode(sides).alias("pattern")).where("length(pattern) > 2").groupBy("pattern", "text").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
+    rows = rows.select("doc_id", *[spans[k].alias(k) for k in KINDS], words.alias("words"))
+    rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    of_kind = lambda spans, kind: F.transform(spans, lambda x: x.withField("kind", F.lit(kind).cast("string")))
+    every = F.concat(*[of_kind(k, k) for k in KINDS], of_kind("words", None))
+    seen = rows.select("row", F.explode(every).alias("w")).select("row", "w.*")
+    # words that touch a base span are not instances of their own
+    running = lambda *by: Window.partitionBy("row").orderBy(*by, F.col("kind").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = lambda c: F.when(F.col("kind").isNotNull(), F.col(c))
+    before, after = F.max(base("end")).over(running("start")), F.min(base("start")).over(running(F.desc("start")))
+    free = (F.coalesce(F.col("before"), F.lit(0)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    seen = seen.withColumn("before", before).withColumn("after", after).where(F.col("kind").isNotNull() | free).drop("before", "after")
+    seen = scratch.table(seen, "seen")
+
+    edges = seen.select("text", "kind", F.explode(_patterns()).alias("pattern")).groupBy("pattern", "text").agg(F.min("kind").alias("kind"))
     edges = scratch.table(edges, "edges")
-    known = edges.groupBy("text").agg(F.max("kind").alias("kind"))
-    shapes = known.where("kind is not null").select("kind", _shape(F.col("text")).alias("shape")).groupBy("kind", "shape").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("kind", "shape")
-    scores = known.where("kind is not null").select("text", "kind", F.lit(1.0).alias("score"))
-    links = edges.select("pattern", "text", "n")
+    seeds = scratch.table(seen.where("kind is not null").groupBy("text").agg(F.min("kind").alias("kind")), "seeds")
+    # pairs of signs that are usual for a kind: a few hundred rows
+    counts = seeds.groupBy("kind").agg(F.count("*").alias("all"))
+    usual = seeds.select("kind", F.explode(shape_pairs(F.col("text"))).alias("pair")).groupBy("kind", "pair").agg(F.count("*").alias("n")).join(counts, "kind").where(F.col("n") >= common * F.col("all")).select("kind", "pair")
+    # candidates: unseen instances in a pattern that enough seeds of a kind have
+    wide = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("wide")).where(F.col("wide") >= support).select("pattern", "kind")
+    wide = scratch.table(wide, "wide")
+    links = scratch.table(edges.withColumnRenamed("kind", "own").join(wide, "pattern"), "links")
+    asked = links.where("own is null").select("text", "kind").distinct().withColumn("pair", F.explode(shape_pairs(F.col("text"))))
+    like = asked.join(F.broadcast(usual.withColumn("hit", F.lit(1))), ["kind", "pair"], "left").groupBy("text", "kind").agg((F.count("hit") / F.count("*")).alias("like"))
+    like = scratch.table(like.where(F.col("like") >= threshold), "like")
+    scores = like.select("text", "kind", F.lit(0.0).alias("score"))
     for k in range(rounds):
-        total = links.groupBy("pattern").agg(F.sum("n").alias("all"))
-        good = links.join(scores, "text").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.sum(F.when(F.col("score") >= confidence, 1).otherwise(0)).alias("wide"))
-        sure = good.where(F.col("wide") >= support).join(total, "pattern").select("pattern", "kind", (F.col("good") / F.col("all")).alias("p")).where(F.col("p") >= confidence)
-        fresh = links.join(edges.where("kind is null").select("text").distinct(), "text", "left_semi").join(sure, "pattern").groupBy("text", "kind").agg(F.max("p").alias("score"))
-        fresh = fresh.withColumn("shape", _shape(F.col("text"))).join(shapes, ["kind", "shape"], "left_semi").groupBy("text").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-        scores = scratch.table(known.where("kind is not null").select("text", "kind", F.lit(1.0).alias("score")).union(fresh), f"scores-{k}")
-    unseen = scores.where(F.col("score") < 1.0)
-    extra = seen.where("kind is null").join(unseen.select("text", F.col("kind").alias("found"), "score"), "text").select("row", F.col("found").alias("kind"), "start", "end", "text", "score")
-    return rows.drop("seen"), extra
+        worth = F.when(F.col("own") == F.col("kind"), 1.0).when(F.col("own").isNotNull(), 0.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        sure = links.join(scores, ["text", "kind"], "left").groupBy("pattern", "kind").agg(F.avg(worth).alias("p")).where(F.col("p") >= confidence)
+        best = links.where("own is null").select("pattern", "text", "kind").join(sure, ["pattern", "kind"]).groupBy("text", "kind").agg(F.max("p").alias("p"))
+        scores = scratch.table(best.join(like, ["text", "kind"]).select("text", "kind", (F.col("p") * F.col("like")).alias("score")), f"scores-{k}")
+    place = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, -k)]), F.col("kind"))
+    best = scores.where(F.col("score") >= threshold).groupBy("text").agg(F.max(F.struct("score", place.alias("place"), "kind")).alias("best"))
+    best = scratch.table(best.select("text", "best.kind", "best.score"), "best")
+    extra = seen.where("kind is null").drop("kind").join(best, "text").select("row", "kind", "start", "end", "text", "score")
+    return rows.drop("words"), extra
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, extra = extract(spark, table(spark, sf_dir, "documents"))
-    more = extra.groupBy("row").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end", "text")))).alias(f"more_{k}") for k in KINDS])
+    more = extra.groupBy("row").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end"))).alias(f"more_{k}") for k in KINDS])
     rows = rows.join(more, "row", "left")
-    none = F.array().cast(_EMPTY)
-    every = F.concat(*[_said(k, F.array_sort(F.concat(F.col(k), F.coalesce(F.col(f"more_{k}"), none)))) for k in KINDS])
+    places = lambda k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    none = F.array().cast(_SPANS)
+    every = F.concat(*[_said(k, F.array_sort(F.concat(places(k), F.coalesce(F.col(f"more_{k}"), none)))) for k in KINDS])
     base = F.concat(*[_said(k, F.col(k)) for k in KINDS])
     return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
