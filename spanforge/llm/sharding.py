@@ -2,17 +2,25 @@
 
 Law `rows`: shard sizes differ by one row at most. Rows that are near in every dimension (place in the id range, text
 size, source, language) get near curve indexes, so each shard, and each file of it, covers a small box of metadata and
-a reader can skip it by its minima and maxima. Only ids and numbers are sorted; texts are never shuffled.
+a reader can skip it by its minima and maxima.
+
+First only ids and numbers are sorted along the curve and counted, which gives the bounds of as many ranges as there
+are partitions and the rank at which each begins. Then whole rows go to their range in one shuffle, are sorted there,
+and are written as files of their shard: a row's rank is that of its range and its place in it.
 
 Defined results: a null text has size 1 and crc 0; null source or language count as one value of their own; a null
-doc_id sorts first; repeated rows each get their own slot; an empty table gives no rows; extra columns are ignored.
+doc_id sorts first; repeated rows each get their own slot (rows with equal keys are in one range); an empty table gives
+no rows and no files; extra columns of any name stay in the files, beside the columns that write_shards() returns the
+names of.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,41 +61,95 @@ def _index(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index([v.to_numpy() for v in (a, b, c, d)]))
 
 
-def shard_by_hilbert(spark: SparkSession, docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, curve, shard, slot) for each row of docs(doc_id, text, source, lang)."""
-    scratch = Scratch(spark, "hilbert")
+def _fresh(df: DataFrame, name: str) -> str:
+    """name, or the first variant of it that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _key(docs: DataFrame) -> Column:
+    """What rows are sorted by: the curve, then doc_id (nulls first), size and crc of the text."""
     side = 1 << BITS
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", (F.length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("source").alias("s"), F.xxhash64("lang").alias("g"))
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     least, span = least or 0, (most or 0) - (least or 0) + 1
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    size = (F.length(text) + F.lit(1)).cast("long")
     place = F.coalesce(F.floor((F.col("doc_id") - F.lit(least)).cast("double") * (side - 1) / F.lit(float(span))), F.lit(0)).cast("long")
-    wide = F.least(F.lit(side - 1), F.floor(F.log2("size") * F.lit(side / 40))).cast("long")
-    rows = rows.withColumn("curve", _index(place, wide, F.pmod("s", F.lit(side)), F.pmod("g", F.lit(side))))
-    order = ["curve", "doc_id", "size", "text_crc32"]
-    rows = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = scratch.table(rows.withColumn("at", F.monotonically_increasing_id()), "sorted")
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one for each partition
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets.append((p, total))
-        total += counts[p]
-    starts = spark.createDataFrame(offsets, "p long, before long")
+    wide = F.least(F.lit(side - 1), F.floor(F.log2(size) * F.lit(side / 40))).cast("long")
+    curve = _index(place, wide, F.pmod(F.xxhash64("source"), F.lit(side)), F.pmod(F.xxhash64("lang"), F.lit(side)))
+    return F.struct(curve.alias("curve"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), size.alias("size"), F.crc32(text).alias("crc"))
+
+
+_KEYS = ("curve", "known", "id", "size", "crc")
+
+
+def _ranges(spark: SparkSession, keys: DataFrame) -> list[tuple[tuple, int]]:
+    """(least key, number of rows before it) of each range, one for each partition; keys: a column k."""
+    scratch = Scratch(spark, "hilbert")
+    rows = keys.select(*[F.col(f"k.{c}").alias(c) for c in _KEYS]).repartitionByRange(*_KEYS)
+    rows = scratch.table(rows.withColumn("p", F.spark_partition_id()), "keys")
+    found = sorted((tuple(r["least"]), r["n"]) for r in rows.groupBy("p").agg(F.min(F.struct(*_KEYS)).alias("least"), F.count("*").alias("n")).collect())
+    scratch.drop()
+    out, total = [], 0
+    for least, n in found:
+        out.append((least, total))
+        total += n
+    return out
+
+
+def _range_of(key: Column, bounds: list[tuple]) -> Column:
+    """The last range whose least key is at or below key, by binary search."""
+    kinds = "struct<curve:bigint,known:boolean,id:bigint,size:bigint,crc:bigint>"
+    array = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(_KEYS, b, strict=True)]).cast(kinds) for b in bounds])
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    fits = lambda lo, s: (lo + s < len(bounds)) & (F.get(array, F.least(lo + s, F.lit(len(bounds) - 1))) <= key)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when(fits(lo, s), lo + s).otherwise(lo))
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, n_shards: int = 8) -> tuple[str, str]:
+    """Write docs(doc_id, text, source, lang, ...) to path, a folder a shard, sorted along the curve; names of the columns
+    of the shard (which the folders are named by) and of the slot."""
+    shard_name, slot_name = _fresh(docs, "shard"), _fresh(docs, "slot")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(docs).alias("k"))
+    ranges = _ranges(spark, rows.select("k"))
+    total = docs.count()
+    if not ranges:
+        return shard_name, slot_name
+    rows = rows.withColumn("part", _range_of(F.col("k"), [least for least, _ in ranges]))
+    rows = rows.repartitionById(len(ranges), F.col("part")).sortWithinPartitions("part", "k")
+    rows = rows.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rank = F.element_at(F.array(*[F.lit(n).cast("long") for _, n in ranges]), F.col("part") + 1) + F.col("at")
     few, extra = divmod(total, n_shards)
     cut = extra * (few + 1)
-    rank = F.col("before") + place
-    shard = F.when(rank < cut, F.floor(rank / F.lit(few + 1))).otherwise(F.lit(extra) + F.floor((rank - F.lit(cut)) / F.lit(max(few, 1))))
-    first = F.when(F.col("shard") < extra, F.col("shard") * (few + 1)).otherwise(F.lit(cut) + (F.col("shard") - extra) * few)
-    rows = rows.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("rank", rank).withColumn("shard", shard.cast("long"))
-    return rows.select("doc_id", "size", "text_crc32", "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"))
+    shard = F.when(rank < cut, F.floor(rank / F.lit(few + 1))).otherwise(F.lit(extra) + F.floor((rank - F.lit(cut)) / F.lit(max(few, 1)))).cast("int")
+    rows = rows.withColumn("rank", rank).withColumn("n", shard)
+    first = F.when(F.col("n") < extra, F.col("n") * F.lit(few + 1)).otherwise(F.lit(cut) + (F.col("n") - extra) * F.lit(few))
+    # the rows of a range are in order, so writing them by shard needs no more sorting
+    rows = rows.select("row.*", (F.col("rank") - first).cast("long").alias(slot_name), F.col("n").alias(shard_name))
+    rows.write.mode("overwrite").partitionBy(shard_name).parquet(path)
+    return shard_name, slot_name
+
 
+def boxes(files: DataFrame) -> DataFrame:
+    """Of each file of a data set (doc_id, text, source, lang) what its statistics say: rows, minima and maxima."""
+    rows = files.select(F.input_file_name().alias("file"), "doc_id", F.length("text").alias("size"), "source", "lang")
+    sides = [f(c).alias(f"{name}_{c}") for c in ("doc_id", "size", "source", "lang") for name, f in (("least", F.min), ("most", F.max))]
+    return rows.groupBy("file").agg(F.count("*").alias("n"), *sides)
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write docs as one folder a shard, each sorted along the curve, for readers that prune by file statistics."""
-    (docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path))
+
+def read_files(box: DataFrame, **wanted) -> tuple[int, int]:
+    """(files whose boxes can hold a row of the wanted values, all files). wanted: column=(least, most)."""
+    inside = [(F.col(f"most_{c}") >= F.lit(lo)) & (F.col(f"least_{c}") <= F.lit(hi)) for c, (lo, hi) in wanted.items()]
+    return tuple(box.agg(F.coalesce(F.sum(reduce(Column.__and__, inside).cast("long")), F.lit(0)), F.count("*")).first())
 
 
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shard_by_hilbert(spark, table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """From the files that write_shards() wrote."""
+    docs, path = table(spark, sf_dir, "documents"), Scratch(spark, "shards").base
+    shard, slot = write_shards(spark, docs, path)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField(slot, T.LongType()), T.StructField(shard, T.IntegerType())])
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    files = spark.read.schema(schema).parquet(path) if not docs.isEmpty() else spark.createDataFrame([], schema)
+    return files.select("doc_id", (F.length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
