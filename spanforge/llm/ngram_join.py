@@ -16,8 +16,9 @@ of that centre, in blocks. Documents with equal sets are one class and are compa
 whole sets; the result holds a spanning set of links of every component, not all pairs of a component.
 
 Defined results: a text of fewer words than n is one n-gram; without words, or null, it has none and links with nothing;
-a null doc_id has a null component; repeated rows give a row each and count as equal documents; an empty table gives no
-rows; extra columns are ignored.
+a null doc_id has a null component; repeated rows give a row each and count as one document; where rows of a doc_id have
+different sets, the text with the least hash speaks for all of them (each keeps its own number of n-grams); an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, only_ids, passes, signed, table
+from .common import Scratch, Words, components, give_back, mix, only_ids, passes, signed, table, tidy, without_ids
 
 RARE = 8
 SMALL = 64
 SMALL_CELLS = 1 << 20
 #: Sketch cells that one bucket of the join holds, about.
-PER_BUCKET = 1_500_000
+PER_BUCKET = 500_000
+#: Common values that a task remembers.
+REMEMBERED = 1 << 20
 BLOCK = 256
 _U = np.uint64
 
@@ -96,6 +99,7 @@ def cells(owner: np.ndarray, grams: np.ndarray, level: np.ndarray) -> tuple[np.n
 
 
 def _meta(n_words: int, percent: int):
+    @tidy
     def run(batches):
         for batch in batches:
             for part in passes(batch):
@@ -113,8 +117,9 @@ def _meta(n_words: int, percent: int):
 
 
 def _postings(n_words: int, percent: int, buckets: int):
+    @tidy
     def run(batches):
-        turn = 0
+        turn, known = 0, np.zeros(0, np.uint64)
         for batch in batches:
             for part in passes(batch.filter(pc.is_valid(batch.column("doc_id")))):
                 owner, grams, n = gram_sets(part.column("text"), n_words)
@@ -128,8 +133,11 @@ def _postings(n_words: int, percent: int, buckets: int):
                     docs, keys = docs[once], keys[once]
                 new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
                 rank = np.arange(len(keys)) - np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
-                # of a value that is common even here, RARE postings say so to its bucket; the others are known to be common
-                common = rank >= RARE
+                # of a value that is common in one pass, RARE postings say so to its bucket; the others of the task are
+                # known to be common, so that a bucket gets RARE for each task at most
+                common = (rank >= RARE) | (np.isin(keys, known) if len(known) else False)
+                if (fresh := np.unique(keys[rank >= RARE])).size:
+                    known = np.union1d(known, fresh) if len(known) + len(fresh) <= REMEMBERED else fresh
                 out = []
                 if common.any():
                     out.append((1, (turn * 7919 + int(ids[0])) % buckets, keys[common].tobytes(), docs[common].tobytes()))
@@ -177,10 +185,12 @@ def _match(group: pa.Table) -> pa.Table:
     heavy_keys = np.concatenate([keys[~rare], join(0, 1)])
     rest = np.zeros(len(heavy_docs), np.int64)
     kinds = np.concatenate([np.zeros(len(first), np.int32), np.ones(len(heavy_docs), np.int32)])
+    give_back()
     return pa.table({"kind": kinds, "a": np.concatenate([a[first], heavy_docs]), "b": np.concatenate([b[first], heavy_keys]), "level": np.concatenate([at[first], rest]), "n": np.concatenate([many, rest])})
 
 
 def _sets(n_words: int):
+    @tidy
     def run(batches):
         for batch in batches:
             for part in passes(batch):
@@ -193,6 +203,7 @@ def _sets(n_words: int):
 
 
 def _verify(percent: int):
+    @tidy
     def run(batches):
         for batch in batches:
             keep = []
@@ -245,7 +256,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     """(doc_id, n_shingles, component_id) of docs(doc_id, text). Who gives the scratch can drop it after the result is written."""
     scratch = scratch or Scratch(spark, "ngrams")
     docs = docs.select("doc_id", "text")
-    meta = scratch.table(docs.mapInArrow(_meta(n_words, percent), "doc_id long, n long, d1 long, d2 long, nz long, nz_below long"), "meta")
+    described = lambda df: df.mapInArrow(_meta(n_words, percent), "doc_id long, n long, d1 long, d2 long, nz long, nz_below long")
+    meta = scratch.table(described(docs), "meta")
+    rows = meta.select("doc_id", "n")
+    # of the texts of one doc_id one speaks for it
+    sets = F.struct("n", "d1", "d2")
+    several = scratch.table(meta.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("a"), F.max(sets).alias("b")).where("a <> b").select("doc_id"), "several")
+    torn = not several.isEmpty()
+    if torn:
+        spoken = only_ids(spark, docs, several).where("text is not null").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        docs = without_ids(spark, docs, several).union(scratch.table(spoken, "spoken"))
+        meta = scratch.table(described(docs), "spoken-meta")
     total = meta.agg(F.sum(F.col("nz") + F.col("nz_below"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_BUCKET))
 
@@ -280,7 +301,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     common = common.where("rare <= most")
     kept = common.select("doc", "n", "rare", F.explode(F.slice("keys", F.lit(1), F.col("most") + 1 - F.greatest(F.lit(0), F.col("rare")))).alias("key"))
     kept = scratch.table(kept, "kept")
-    centres = kept.groupBy("key").agg(F.min(F.struct("rare", "doc", "n")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("nc"))
+    # a table of its own: adaptive execution can then split the common keys of the join
+    centres = scratch.table(kept.groupBy("key").agg(F.min(F.struct("rare", "doc", "n")).alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.n").alias("nc")), "centres")
     family = scratch.table(kept.join(centres, "key").where("doc <> centre").select("centre", "nc", "doc", "n").distinct(), "family")
     star = family.where(fits(F.col("nc"), F.col("n"))).select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b"))
     pairs = scratch.table(pairs.union(star).distinct(), "pairs")
@@ -294,7 +316,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     loose = scratch.table(family.join(tied, ["centre", "doc"], "left_anti"), "loose")
     if not loose.isEmpty():
         blocks = lambda df, name: df.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-        shape = blocks(loose, "n_left").join(blocks(family, "n_right"), "centre")
+        shape = scratch.table(blocks(loose, "n_left").join(blocks(family, "n_right"), "centre"), "shape")
         blob = sets.select(F.col("doc_id").alias("doc"), "grams")
         place = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -305,6 +327,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
         links = links.union(scratch.table(more.distinct(), "more"))
     parts = components(spark, links, scratch)
     whole = meta.join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if torn:
+        said = whole.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep", "doc_id")).alias("component"))
+        whole = rows.join(said, "doc_id", "left").withColumn("rep", F.col("component"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
