@@ -14,7 +14,7 @@ tolerance, and further while targets that can be met come nearer. Targets that c
 where every posterior is positive) end at the tolerance; what is missed is logged.
 
 Defined results: null and empty texts have no tokens and the prior posterior; null labels are ignored; without labels
-or tokens all rates are 1; a domain without a label has posterior 0; repeated rows each get the same rate; an empty
+or tokens all rates are 1; of contradicting labels of a doc_id the last in the order of DOMAINS counts (toxic first); a domain without a label has posterior 0; repeated rows each get the same rate; an empty
 table gives no rows; extra columns stay in with_posteriors().
 """
 
@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, Words, passes, table
+from .common import Scratch, Words, passes, table, tidy
 
 DOMAINS = ("high", "low", "toxic")
 LABELLED = 6000
 FEATURES = 1 << 15
 WEIGHTS = {"high": 0.75, "low": 0.25, "toxic": 0.0}
+#: All tokens in units of the exact sums: far enough below 2**63 for rates of some hundreds.
+ROOM = float(1 << 44)
 _U = np.uint64
 _LOG = logging.getLogger(__name__)
 
@@ -58,6 +60,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc, feature, (value / np.maximum(norm[doc], 1e-9)).astype(np.float32), tokens
 
 
+@tidy
 def _rows(batches):
     for batch in batches:
         for part in passes(batch):
@@ -103,8 +106,8 @@ class Softmax:
 
 def fit_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> Softmax | None:
     known = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("doc_id is not null and domain is not null")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "domain").mapInArrow(_rows, "doc_id long, domain int, features binary, values binary").collect()
+    chosen = known.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain").mapInArrow(_rows, "doc_id long, domain int, features binary, values binary").collect()
     if not rows:
         return None
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["features"])))
@@ -114,10 +117,12 @@ def fit_classifier(spark: SparkSession, docs: DataFrame, labels: DataFrame, samp
 
 
 def with_posteriors(spark: SparkSession, docs: DataFrame, model: Softmax | None) -> DataFrame:
-    """docs with n_tokens (words) and p_<domain> appended."""
+    """docs with n_tokens (words) and p_<domain> appended; columns of those names are replaced."""
     sent = spark.sparkContext.broadcast(model)  # of one fixed size
     names = ["n_tokens", *(f"p_{d}" for d in DOMAINS)]
+    docs = docs.drop(*names)
 
+    @tidy
     def run(batches):
         model = sent.value or Softmax(len(DOMAINS))
         for batch in batches:
@@ -148,20 +153,22 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None, weights: dic
     """
     t, ps = F.col("n_tokens"), [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
-    first = members.agg(F.sum(t), *[F.sum(t * p) for p in ps]).first()
-    total = float(first[0] or 0)
+    total = float(members.agg(F.sum(t)).first()[0] or 0)
     if not total:
         return F.lit(1.0), {}
-    now = np.array(first[1:], float)
+    # sums of whole numbers don't depend on the order of their parts, so the fit is the same in each run
+    unit = ROOM / total
+    exact = lambda x: F.sum(F.floor(x * F.lit(unit) + F.lit(0.5)))
+    now = np.array(members.agg(*[exact(t * p) for p in ps]).first(), float) / unit
     goal = np.array([float(targets[d]) if targets else total * weights[d] for d in DOMAINS])
 
     def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
         """What the rates of a pull sum up to: value, totals, second moments and greatest rate of those that can move."""
         u, r = _pulled(pull), rate_column(pull, most)
         free = (u > 0) if most is None else (u > 0) & (u < most)
-        moments = [F.sum(F.when(free, t * x * y)) for x in ps for y in ps]
-        row = members.agg(F.sum(t * (r * u - r * r / 2)), F.max(F.when(t > 0, r)), *[F.sum(r * t * p) for p in ps], *moments).first()
-        return float(row[0]) / total, np.array(row[2 : k + 2], float) / total, np.array([x or 0 for x in row[k + 2 :]], float).reshape(k, k) / total, float(row[1])
+        moments = [exact(F.when(free, t * x * y)) for x in ps for y in ps]
+        row = members.agg(exact(t * (r * u - r * r / 2)), F.max(F.when(t > 0, r)), *[exact(r * t * p) for p in ps], *moments).first()
+        return float(row[0]) / ROOM, np.array(row[2 : k + 2], float) / ROOM, np.array([x or 0 for x in row[k + 2 :]], float).reshape(k, k) / ROOM, float(row[1])
 
     pull, keep, before = np.zeros(k), 1e-2, np.inf
     value, at, moments, greatest = look(pull)
@@ -196,7 +203,9 @@ def copies_of(rate: Column, rounding: str = "hash") -> Column:
 
 def clean_targets(members: DataFrame) -> dict[str, float]:
     """Targets that keep what is expected of each domain but the toxic one, of which nothing is wanted."""
-    row = members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first()
+    total = members.agg(F.sum("n_tokens")).first()[0] or 0
+    unit = ROOM / max(1, total)
+    row = [(x or 0) / unit for x in members.agg(*[F.sum(F.floor(F.col("n_tokens") * F.col(f"p_{d}") * F.lit(unit) + F.lit(0.5))) for d in DOMAINS]).first()]
     return {d: 0.0 if d == "toxic" else float(x or 0) for d, x in zip(DOMAINS, row, strict=True)}
 
 
