@@ -102,22 +102,29 @@ def _byte_signs() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Ids by piece or word, up to a fixed number; a missing one is made."""
+    """Ids by piece or word; a missing one is made. Of two halves of a fixed size the older goes when the newer is full."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most // 2, {}
 
     def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        self[key] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
-@functools.cache
 def _loaded(path: str):
-    """(tokenizer, whether its rules are the known ones): one for each worker, as its memory doesn't come back whole."""
+    """(tokenizer, whether its rules are the known ones)."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -136,7 +143,7 @@ class PieceEncoder:
         self.pieces, self.others = _Kept(self._piece, PIECES_KEPT), _Kept(self._whole, PIECES_KEPT // 8)
 
     def _piece(self, piece: str) -> bytes:
-        signs = "".join([self.signs[b] for b in piece.encode()])
+        signs = piece if piece.isascii() else "".join([self.signs[b] for b in piece.encode()])
         ids = [t.id for t in self.model.tokenize(signs)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -170,6 +177,12 @@ class PieceEncoder:
         return b"".join(out)
 
 
+@functools.cache
+def encoder_at(path: str) -> PieceEncoder:
+    """One encoder for each worker: a tokenizer's memory doesn't come back whole, so none is made anew in each task."""
+    return PieceEncoder(path)
+
+
 BLOCKS = "shard int, block int, first long, n_ids int, payload binary, doc_ids array<long>, ordinals array<long>, offsets array<long>, counts array<long>, lasts array<boolean>"
 
 
@@ -178,7 +191,7 @@ def _encoder(path: str, end_id: int, block_ids: int, kind: int):
 
     @tidy
     def run(batches):
-        shard, encoder = TaskContext.get().partitionId(), PieceEncoder(path)
+        shard, encoder = TaskContext.get().partitionId(), encoder_at(path)
         pending, held, pieces, block, ordinal = [], 0, [], 0, 0
 
         def row(blob: bytes):
@@ -202,6 +215,8 @@ def _encoder(path: str, end_id: int, block_ids: int, kind: int):
                 ordinal += 1
         if held:
             yield row(b"".join(pending))
+        encoder.pieces.forget()
+        encoder.others.forget()
 
     return run
 
