@@ -43,6 +43,8 @@ EXPRESSIONS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: A word with a digit or an @, up to its last letter, digit or @.
 CANDIDATE = rf"(?<!{NOT_WS}){NOT_WS}*[0-9@](?:{NOT_WS}*[\p{{L}}\p{{N}}])?"
+#: Signs at each side of an instance in which its context words are looked for.
+BESIDE = 120
 #: Hits whose places are added up at a time.
 BLOCK = 256
 
@@ -53,7 +55,7 @@ _SPANS = "array<struct<start:int,end:int>>"
 def found(text: Column, regex: str) -> Column:
     """All matches with code-point offsets and the words beside them (up to two at the left, one at the right)."""
     flat = lambda gap: F.lower(F.translate(gap, "\t\n\x0b\f\r", "     "))
-    beside = lambda gap: F.struct(F.length(gap).alias("n"), F.substring_index(F.rtrim(flat(gap)), " ", -2).alias("last"), F.substring_index(F.ltrim(flat(gap)), " ", 1).alias("first"))
+    beside = lambda gap: F.struct(F.length(gap).alias("n"), F.substring_index(F.rtrim(flat(F.substring(gap, -BESIDE, BESIDE))), " ", -2).alias("last"), F.substring_index(F.ltrim(flat(F.substring(gap, 1, BESIDE))), " ", 1).alias("first"))
     one = lambda at, gap, hit, after: F.struct(
         (at + gap["n"]).cast("int").alias("start"), (at + gap["n"] + F.length(hit)).cast("int").alias("end"), hit.alias("text"), gap["last"].alias("left"), after["first"].alias("right")
     )
@@ -64,7 +66,8 @@ def found(text: Column, regex: str) -> Column:
     blocks = lambda rows: F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
     whole = lambda rows: F.aggregate(blocks(rows), zero(F.lit(0)), lambda acc, k: let(block(rows, acc, k), lambda part: add(acc, part)), lambda acc: acc["out"])
     zipped = lambda gaps, hits: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(hits)).alias("after"))
-    return let(F.transform(F.split(text, regex, -1), beside), lambda gaps: let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda hits: let(zipped(gaps, hits), whole)))
+    some = lambda hits: let(F.transform(F.split(text, regex, -1), beside), lambda gaps: let(zipped(gaps, hits), whole))
+    return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, some(hits)).otherwise(F.array().cast(_HITS)))
 
 
 def _digits(text: Column) -> Column:

@@ -16,6 +16,7 @@ names of.
 
 from __future__ import annotations
 
+import bisect
 from functools import reduce
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, partitions, table
 
 #: Bits for each dimension; the index has BITS * dimensions bits.
 BITS = 10
+#: Bytes of text in one range, about.
+RANGE_BYTES = 64 << 20
 
 
 def hilbert_index(dims: list[np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -85,46 +88,53 @@ def _key(docs: DataFrame) -> Column:
 _KEYS = ("curve", "known", "id", "size", "crc")
 
 
-def _ranges(spark: SparkSession, keys: DataFrame) -> list[tuple[tuple, int]]:
-    """(least key, number of rows before it) of each range, one for each partition; keys: a column k."""
+def _ranges(spark: SparkSession, keys: DataFrame) -> list[tuple[tuple, int, int]]:
+    """(least key, number of rows before it, number of rows) of each range; keys: a column k.
+
+    There are so many ranges that one holds about RANGE_BYTES of text; what the driver and the tasks hold is one key each.
+    """
     scratch = Scratch(spark, "hilbert")
-    rows = keys.select(*[F.col(f"k.{c}").alias(c) for c in _KEYS]).repartitionByRange(*_KEYS)
-    rows = scratch.table(rows.withColumn("p", F.spark_partition_id()), "keys")
+    rows = keys.select(*[F.col(f"k.{c}").alias(c) for c in _KEYS])
+    n = max(partitions(spark), -(-(rows.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES))
+    rows = scratch.table(rows.repartitionByRange(n, *_KEYS).withColumn("p", F.spark_partition_id()), "keys")
     found = sorted((tuple(r["least"]), r["n"]) for r in rows.groupBy("p").agg(F.min(F.struct(*_KEYS)).alias("least"), F.count("*").alias("n")).collect())
     scratch.drop()
     out, total = [], 0
     for least, n in found:
-        out.append((least, total))
+        out.append((least, total, n))
         total += n
     return out
 
 
-def _range_of(key: Column, bounds: list[tuple]) -> Column:
-    """The last range whose least key is at or below key, by binary search."""
-    kinds = "struct<curve:bigint,known:boolean,id:bigint,size:bigint,crc:bigint>"
-    array = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(_KEYS, b, strict=True)]).cast(kinds) for b in bounds])
-    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    fits = lambda lo, s: (lo + s < len(bounds)) & (F.get(array, F.least(lo + s, F.lit(len(bounds) - 1))) <= key)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when(fits(lo, s), lo + s).otherwise(lo))
-
-
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, n_shards: int = 8) -> tuple[str, str]:
     """Write docs(doc_id, text, source, lang, ...) to path, a folder a shard, sorted along the curve; names of the columns
     of the shard (which the folders are named by) and of the slot."""
     shard_name, slot_name = _fresh(docs, "shard"), _fresh(docs, "slot")
     rows = docs.select(F.struct(*docs.columns).alias("row"), _key(docs).alias("k"))
     ranges = _ranges(spark, rows.select("k"))
-    total = docs.count()
     if not ranges:
         return shard_name, slot_name
-    rows = rows.withColumn("part", _range_of(F.col("k"), [least for least, _ in ranges]))
+    total = ranges[-1][1] + ranges[-1][2]
+    least = spark.sparkContext.broadcast([r[0] for r in ranges])
+    before = spark.sparkContext.broadcast(np.array([r[1] for r in ranges], np.int64))
+
+    @F.pandas_udf(T.IntegerType())
+    def part_of(curve: pd.Series, known: pd.Series, id: pd.Series, size: pd.Series, crc: pd.Series) -> pd.Series:
+        keys = zip(curve.tolist(), known.tolist(), id.tolist(), size.tolist(), crc.tolist(), strict=True)
+        return pd.Series([max(0, bisect.bisect_right(least.value, k) - 1) for k in keys], dtype="int32")
+
+    @F.pandas_udf(T.LongType())
+    def rows_before(part: pd.Series) -> pd.Series:
+        return pd.Series(before.value[part.to_numpy()])
+
+    rows = rows.withColumn("part", part_of(*[F.col(f"k.{c}") for c in _KEYS]))
     rows = rows.repartitionById(len(ranges), F.col("part")).sortWithinPartitions("part", "k")
     rows = rows.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    rank = F.element_at(F.array(*[F.lit(n).cast("long") for _, n in ranges]), F.col("part") + 1) + F.col("at")
     few, extra = divmod(total, n_shards)
     cut = extra * (few + 1)
+    rank = F.col("rank")
     shard = F.when(rank < cut, F.floor(rank / F.lit(few + 1))).otherwise(F.lit(extra) + F.floor((rank - F.lit(cut)) / F.lit(max(few, 1)))).cast("int")
-    rows = rows.withColumn("rank", rank).withColumn("n", shard)
+    rows = rows.withColumn("rank", rows_before("part") + F.col("at")).withColumn("n", shard)
     first = F.when(F.col("n") < extra, F.col("n") * F.lit(few + 1)).otherwise(F.lit(cut) + (F.col("n") - extra) * F.lit(few))
     # the rows of a range are in order, so writing them by shard needs no more sorting
     rows = rows.select("row.*", (F.col("rank") - first).cast("long").alias(slot_name), F.col("n").alias(shard_name))
