@@ -10,34 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import decontamination, language, mixing, ngram_join, tokens
-from spanforge.llm.common import Scratch, table
+from spanforge.llm.common import Scratch, table, without_ids
 
-#: A document whose best language has a lower mean probability is rejected, as is one without a letter.
-LEAST_SCORE = 0.4
+#: A document is rejected if its best language is less likely than so many times an even share of all, or without a letter.
+OVER_EVEN = 1.1
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay."""
-    said = language.with_language(spark, docs, language.fit(spark, docs))
-    return said.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model = language.fit(spark, docs)
+    said = language.with_language(spark, docs, model, fit_on=docs, names=("__lang", "__score"))
+    least = min(0.9, OVER_EVEN / max(1, len(model[0]))) if model else 0.0
+    return said.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; of its repeated rows one."""
+    """Of each group of near duplicates the document with the smallest doc_id stays; of its repeated rows one
+    (rows of one doc_id with other texts stay)."""
     work = Scratch(spark, "ngrams")
     found = Scratch(spark, "groups").table(ngram_join.near_duplicates(spark, docs, scratch=work), "found")
     work.drop()
-    out = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    out = without_ids(spark, docs, found.where("component_id <> doc_id").select("doc_id").distinct())
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    once = out.where("doc_id is not null").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    return once.union(out.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item within its edit budget stay."""
-    found = decontamination.with_matches(spark, docs, table(spark, sf_dir, "benchmark"), name="__matches")
-    return found.where(F.size("__matches") == 0).select(*docs.columns)
+    return decontamination.without_matches(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
