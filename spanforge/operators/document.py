@@ -63,12 +63,39 @@ def sentences(docs: DataFrame) -> DataFrame:
     return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
 
 
+def as_of(spans: DataFrame, rows: DataFrame, at: str = "start", prefix: str = "") -> DataFrame:
+    """spans with the columns of the last of rows (doc_id, start, ...) that starts at or before the offset in the document.
+
+    One sort of both by document and place; no pair of a span and a row is made but the one that counts. Spans of a null
+    doc_id find nothing.
+    """
+    names = [c for c in rows.columns if c != "doc_id"]
+    one, row = F.struct(*[spans[c] for c in spans.columns]), F.struct(*[F.col(c).alias(prefix + c) for c in names])
+    left = spans.select("doc_id", F.col(at).cast("long").alias("__at"), F.lit(1).alias("__kind"), one.alias("__span"))
+    right = rows.select("doc_id", F.col("start").cast("long").alias("__at"), F.lit(0).alias("__kind"), row.alias("__row"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    upto = Window.partitionBy("doc_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.when(F.col("doc_id").isNotNull(), F.last("__row", ignorenulls=True).over(upto))
+    return both.withColumn("__row", last).where("__kind = 1").select("__span.*", "__row.*")
+
+
+def with_slices(rows: DataFrame, docs: DataFrame, **spans: tuple[str, str]) -> DataFrame:
+    """rows with the texts between two offsets, name=(start, end). A document's text meets its rows once, gathered.
+
+    Rows without a document are dropped.
+    """
+    taken = [c for c in rows.columns if c not in spans]
+    gathered = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*taken)).alias("__rows"))
+    cut = lambda r: F.struct(*[r[c].alias(c) for c in taken], *[slice_of(F.col("__text"), r[a], r[b]).alias(n) for n, (a, b) in spans.items()])
+    met = gathered.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id")
+    return met.select(F.explode(F.transform("__rows", cut)).alias("__r")).select("__r.*")
+
+
 def line_of(spans: DataFrame, line_rows: DataFrame, at: str = "start") -> DataFrame:
-    """spans with line_no, line_id, line_start of the first line that reaches the offset (its end included)."""
-    l = line_rows.select(F.col("doc_id").alias("__d"), "line_no", "line_id", F.col("start").alias("line_start"), F.col("end").alias("__e"))  # noqa: E741
-    keys = [F.col(c) for c in spans.columns]
-    hit = spans.join(l, (F.col("doc_id") == F.col("__d")) & (F.col("line_start") <= F.col(at)) & (F.col(at) <= F.col("__e")), "left")
-    return hit.groupBy(*keys).agg(F.min(F.struct("line_no", "line_id", "line_start")).alias("l")).select(*spans.columns, "l.*")
+    """spans with line_no, line_id, line_start of the line that reaches the offset (its end included)."""
+    found = as_of(spans, line_rows.select("doc_id", "line_no", "line_id", "start", "end"), at, "__l_")
+    inside = F.col(at) <= F.col("__l_end")
+    return found.select(*spans.columns, *[F.when(inside, F.col(f"__l_{c}")).alias(n) for c, n in (("line_no", "line_no"), ("line_id", "line_id"), ("start", "line_start"))])
 
 
 def _any(text: Column, cues: tuple[str, ...]) -> Column:
@@ -87,17 +114,24 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def with_section(spans: DataFrame, section_rows: DataFrame) -> DataFrame:
     """spans with heading, is_history, is_family of the section that holds their start (null and false outside)."""
-    s = section_rows.select(F.col("doc_id").alias("__d"), "heading", F.col("start").alias("__s"), F.col("end").alias("__e"), "is_history", "is_family")
-    hit = spans.join(s, (F.col("doc_id") == F.col("__d")) & (F.col("start") >= F.col("__s")) & (F.col("start") < F.col("__e")), "left")
-    no = F.lit(False)
-    return hit.select(*[spans[c] for c in spans.columns], "heading", F.coalesce("is_history", no).alias("is_history"), F.coalesce("is_family", no).alias("is_family"))
+    found = as_of(spans, section_rows.select("doc_id", "heading", "start", "end", "is_history", "is_family"), "start", "__s_")
+    inside, no = F.col("start") < F.col("__s_end"), F.lit(False)
+    flags = [F.coalesce(F.when(inside, F.col(f"__s_{c}")), no).alias(c) for c in ("is_history", "is_family")]
+    return found.select(*spans.columns, F.when(inside, F.col("__s_heading")).alias("heading"), *flags)
+
 
+def with_clause(spans: DataFrame, docs: DataFrame, left: str = "clause_start", right: str = "clause_end") -> DataFrame:
+    """spans with the bounds of their clause: after the last break before them, up to the first after them.
 
-def clause_bounds(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """(left, right) of the clause around a span: after the last break before it, up to the first after it."""
-    left = start - F.length(F.element_at(F.split(F.substring(text, F.lit(1), start.cast("int")), CLAUSE_END, -1), -1))
-    rest = F.element_at(F.split(F.substring(text, (end + 1).cast("int"), F.length(text)), CLAUSE_END, 2), 1)
-    return left.cast("long"), (end + F.length(rest)).cast("long")
+    The breaks of a document are found once, whatever the number of its spans.
+    """
+    breaks = matches(docs, CLAUSE_END).select("doc_id", F.col("start").alias("b"), F.col("end").alias("e"))
+    # a break counts from its end for what follows, and up to its start for what goes before
+    before = as_of(spans, breaks.select("doc_id", F.col("e").alias("start")), "start", "__b_")
+    sizes = docs.select("doc_id", (-F.length("text")).cast("long").alias("start"))
+    turned = before.withColumn("__turned", -F.col("end"))
+    after = as_of(turned, breaks.select("doc_id", (-F.col("b")).alias("start")).unionByName(sizes), "__turned", "__a_")
+    return after.select(*spans.columns, F.coalesce("__b_start", F.lit(0)).cast("long").alias(left), (-F.col("__a_start")).cast("long").alias(right))
 
 
 def cue_regex(cues: tuple[str, ...]) -> str:
@@ -126,8 +160,8 @@ def occurrences(text: Column, needle: Column) -> Column:
 def mention_context(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """spans with previous, current and next sentence and the heading of their section."""
     order = Window.partitionBy("doc_id").orderBy("start")
-    s = sentences(docs).select(F.col("doc_id").alias("__d"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.trim("text").alias("current_sentence"), F.trim(F.lag("text").over(order)).alias("previous_sentence"), F.trim(F.lead("text").over(order)).alias("next_sentence"))
-    hit = spans.join(s, (F.col("doc_id") == F.col("__d")) & (F.col("start") >= F.col("__s")) & (F.col("start") < F.col("__e")), "left")
-    blank = F.lit("")
-    hit = hit.select(*[spans[c] for c in spans.columns], *[F.coalesce(c, blank).alias(c) for c in ("previous_sentence", "current_sentence", "next_sentence")])
-    return with_section(hit, sections(docs)).withColumn("heading", F.coalesce("heading", blank)).drop("is_history", "is_family")
+    s = sentences(docs).select("doc_id", "start", "end", F.trim("text").alias("current_sentence"), F.trim(F.lag("text").over(order)).alias("previous_sentence"), F.trim(F.lead("text").over(order)).alias("next_sentence"))
+    found = as_of(spans, s, "start", "__s_")
+    inside, blank = F.col("start") < F.col("__s_end"), F.lit("")
+    said = [F.coalesce(F.when(inside, F.col(f"__s_{c}")), blank).alias(c) for c in ("previous_sentence", "current_sentence", "next_sentence")]
+    return with_section(found.select(*spans.columns, *said), sections(docs)).withColumn("heading", F.coalesce("heading", blank)).drop("is_history", "is_family")

@@ -219,9 +219,7 @@ CLAUSE = f"""clause AS MATERIALIZED (
 @query(f'WITH {NOTES}, {TOK}, {ENT}, {CLAUSE} SELECT doc_id, "start", "end", CAST(l AS BIGINT) AS clause_start, CAST(r AS BIGINT) AS clause_end FROM clause')
 def clauses(spark, d):
     docs = notes_of(spark, d)
-    rows = long_words(docs).join(docs.select("doc_id", F.col("text").alias("src")), "doc_id")
-    left, right = document.clause_bounds(F.col("src"), F.col("start"), F.col("end"))
-    return rows.select("doc_id", "start", "end", left.alias("clause_start"), right.alias("clause_end"))
+    return document.with_clause(long_words(docs), docs).select("doc_id", "start", "end", "clause_start", "clause_end")
 
 
 def scue(x: str, cues: tuple[str, ...]) -> tuple[str, str]:
