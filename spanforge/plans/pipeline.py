@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assertions, document, lattice, lexicon, linking, models, proposals, resolver, retrieval
+from ..operators import assertions, document, facts, lattice, lexicon, linking, models, proposals, resolver, retrieval, retrievers
 from .stages import cut
 
 
@@ -71,7 +71,7 @@ def extract(docs: DataFrame, seeds: DataFrame | None = None, phrases: DataFrame
     return final.withColumn("reason", resolver.confidence_reason(F.col("sources"), F.col("subsumes_seed"))).select("doc_id", "start", "end", "text", "type", "sources", "subsumes_seed", "assertions", "reason")
 
 
-def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows: DataFrame, drugs: DataFrame, responder: Callable | None = None, dense: DataFrame | None = None, encoder: Callable | None = None, profile: Profile | None = None) -> DataFrame:
+def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows: DataFrame, drugs: DataFrame, responder: Callable | None = None, dense: dict[str, DataFrame] | None = None, specs: list[retrievers.Retriever] | None = None, factories: dict | None = None, profile: Profile | None = None) -> DataFrame:
     """entities with candidates, concept_id, decision and reason of the linked types.
 
     Views are made once for each distinct context, candidates from postings (and vectors), then pruned, put in an order
@@ -96,10 +96,9 @@ def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows
         hits = part if hits is None else hits.unionByName(part)
     sparse = views.where(F.col("view").isin("raw", "canonical_vi")).select("mention_id", "view", F.concat_ws("|", "ontology", "text").alias("query_id")).join(hits, "query_id")
     every = cut(sparse).select(F.col("mention_id").alias("query_id"), "concept_id", "retriever", "view", "rank")
-    if dense is not None and encoder is not None:
-        vectors = models.encode(asked.select("query_id", "ontology", F.col("query").alias("text")), encoder).select("query_id", "ontology", "vec")
-        near = retrieval.dense_topk(vectors, dense, profile.dense_top).select("query_id", "concept_id", F.lit("dense").alias("retriever"), "rank")
-        every = every.unionByName(views.select("mention_id", "view", F.concat_ws("|", "ontology", "text").alias("query_id")).join(near, "query_id").select(F.col("mention_id").alias("query_id"), "concept_id", "retriever", "view", "rank"))
+    if dense and specs and factories:  # an index of each retriever; the registry says which ontology it may serve
+        near = retrievers.dense_hits(views, dense, specs, factories, top=profile.dense_top)
+        every = every.unionByName(near.select(F.col("mention_id").alias("query_id"), "concept_id", "retriever", "view", "rank"))
     exact = None
     for o in ("ICD10", "RXNORM"):
         part = retrieval.exact_alias_ids(found.where(F.col("ontology") == o).select(F.col("mention_id").alias("query_id"), F.col("mention").alias("query")), own(o, posting_rows))
@@ -111,9 +110,10 @@ def link(entities: DataFrame, docs: DataFrame, concepts: DataFrame, posting_rows
     if responder is None:
         chosen = found.select("mention_id", F.lit("NONE").alias("decision"), F.lit(None).cast("string").alias("concept_id"))
     else:
-        names = concepts.select(F.col("ontology").alias("__o"), F.col("concept_id").alias("__c"), "canonical_name")
-        lines = opts.join(found.select("mention_id", "ontology", "type", "current_sentence"), "mention_id").join(names, (F.col("ontology") == F.col("__o")) & (F.col("concept_id") == F.col("__c")))
-        listed = lines.groupBy("mention_id", "mention", "type", "current_sentence").agg(F.array_sort(F.collect_list(F.struct("position", "letter", F.array("canonical_name").alias("lines")))).alias("o"))
+        lines = opts.join(found.select("mention_id", "ontology", "type", "current_sentence"), "mention_id")
+        shown = facts.candidate_lines(lines.select("mention", "ontology", "concept_id"), concepts, drugs)
+        lines = lines.join(shown, ["mention", "ontology", "concept_id"])
+        listed = lines.groupBy("mention_id", "mention", "type", "current_sentence").agg(F.array_sort(F.collect_list(F.struct("position", "letter", "lines"))).alias("o"))
         asks = listed.select("mention_id", models.rerank_prompt(F.col("mention"), F.col("type"), F.col("current_sentence"), F.transform("o", lambda x: F.struct(x["letter"].alias("letter"), x["lines"].alias("lines")))).alias("prompt"))
         replies = models.ask(asks, responder).select("mention_id", "reply")
         chosen = linking.parse_selection(replies, opts).select("mention_id", "decision", "concept_id")
