@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_filter, in_filter, partitions, table
+from .common import Scratch, id_filter, in_filter, partitions, table, tidy
 
 
 def canonical(text: str) -> str:
@@ -71,6 +71,7 @@ def _compare(with_shas: bool):
     kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
     types = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
+    @tidy
     def run(batches):
         """Streams a sorted partition; holds one text besides the batch."""
         kept, out = None, {n: [] for n in types.names}
@@ -105,10 +106,12 @@ def mixed_buckets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     do no harm. The least and the greatest canonical text of a bucket are found with partial aggregates, so a bucket
     with a third of all rows is never in one task.
     """
-    several = rows.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # a table of its own: adaptive execution can then split a common fingerprint
+    several = Scratch(docs.sparkSession, "several").table(rows.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "several")
     ids = rows.where("doc_id is not null").join(several, "fp", "left_semi").select("doc_id").distinct()
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(docs.sparkSession, ids))
 
+    @tidy
     def canon(batches):
         for batch in batches:
             wanted = in_filter(sent.value, pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)) | batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
