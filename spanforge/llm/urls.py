@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, passes, table
+from .common import Scratch, passes, table, tidy
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ORDER = 6
@@ -66,6 +66,7 @@ def blocks(parts: DataFrame) -> DataFrame:
     """parts with a block: stretches of a partition's rows whose URLs have about BLOCK_BYTES."""
     from pyspark import TaskContext
 
+    @tidy
     def run(batches):
         block, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
@@ -86,6 +87,7 @@ def _slices(batch: pa.RecordBatch):
     return passes(batch, "url", BLOCK_BYTES)
 
 
+@tidy
 def _count(batches):
     for batch in batches:
         for part in _slices(batch):
@@ -98,6 +100,7 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x) for x in n)], ["gram", "a", "b"])
 
 
+@tidy
 def _asked(batches):
     """The distinct grams of the URLs of a block, and the empty gram."""
     for batch in batches:
