@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, ints, mix, only_ids, passes, signed, table
+from .common import Scratch, Words, ints, mix, only_ids, passes, signed, table, tidy
 
 _U = np.uint64
 _Q = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
@@ -63,6 +63,7 @@ def winnow(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+@tidy
 def _meta(batches):
     """n_words, sha256 of the words joined by a space, and a digest of the words."""
     for batch in batches:
@@ -78,6 +79,7 @@ def _meta(batches):
 def _anchors(length: int, seed: int):
     reach = length - seed
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in passes(batch):
@@ -101,6 +103,7 @@ def _windows(length: int, seed: int):
     """Hashes of all windows that hold one of the given anchors."""
     reach = length - seed
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in passes(batch):
@@ -120,6 +123,7 @@ def _windows(length: int, seed: int):
     return run
 
 
+@tidy
 def _cut(batches):
     """What is left of each text without its marked ranges of words."""
     for batch in batches:
@@ -148,11 +152,14 @@ def repeated_words(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
     anchors = docs.where("doc_id is not null").mapInArrow(_anchors(length, seed), "anchor long, c1 long, c2 long, doc long, pos long")
     anchors = scratch.table(anchors, "anchors")
     several = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    shared = scratch.table(anchors.join(several, "anchor"), "shared")
+    # a table of its own: adaptive execution can then split a common anchor
+    shared = scratch.table(anchors.join(scratch.table(several, "several"), "anchor"), "shared")
     scratch.drop("anchors")
+    scratch.drop("several")
     first = shared.groupBy("c1", "c2").agg(F.min("doc").alias("first_doc"), F.first("anchor").alias("of"))
     first = scratch.table(first, "contexts")
     mixed = first.groupBy("of").agg(F.count("*").alias("n")).where("n > 1").select(F.col("of").alias("anchor"))
+    mixed = scratch.table(mixed, "mixed")
     placed = shared.join(first.select("c1", "c2", "first_doc"), ["c1", "c2"])
     reach = length - seed
     full = placed.where("doc > first_doc").select("doc", F.greatest(F.lit(0), F.col("pos") - reach).alias("s"), (F.col("pos") + length).alias("e"))
