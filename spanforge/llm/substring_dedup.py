@@ -147,6 +147,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, length: int = 50) -> tu
     docs = docs.select("doc_id", "text")
     meta = scratch.table(docs.mapInArrow(_meta, "doc_id long, n_words long, sha string, d1 long, d2 long"), "meta")
     least = meta.where(F.col("n_words") >= length).groupBy("n_words", "d1", "d2").agg(F.min("doc_id").alias("first_doc"))
+    least = scratch.table(least, "least")
     meta = scratch.table(meta.join(least, ["n_words", "d1", "d2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))), "copies")
 
     anchors = docs.where("doc_id is not null").mapInArrow(_anchors(length, seed), "anchor long, c1 long, c2 long, doc long, pos long")
