@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -61,6 +62,22 @@ def tidy(run):
     return wrapped
 
 
+#: Rows of an Arrow batch at most while tables are written: documents are long, and the JVM holds batches outside its heap.
+BATCH_ROWS = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Queries that run inside send Python at most BATCH_ROWS rows at a time; the session's own setting then returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -71,7 +88,8 @@ class Scratch:
         """Write df and read it back; the shuffle files of what made it can then go."""
         path = f"{self.base}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, tidy
+from .common import Scratch, small_batches, table, tidy
 
 BLOCK_IDS = 1 << 16
 END_ID = 1
@@ -224,7 +224,8 @@ def _encoder(path: str, end_id: int, block_ids: int, kind: int):
 def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: int = 1) -> None:
     """Encode docs(doc_id, text) in ascending doc_id order; blocks go to path/blocks and the chunk index to path/index."""
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_encoder(tokenizer, end_id, block_ids, kind), BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        rows.mapInArrow(_encoder(tokenizer, end_id, block_ids, kind), BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     index = blocks.select("shard", "block", "first", "n_ids", F.length("payload").alias("bytes"), F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"))
     index.write.mode("overwrite").parquet(f"{path}/index")
