@@ -91,7 +91,7 @@ def accent_marked_tokens(spark, d):
 
 @query(f"WITH v AS MATERIALIZED (SELECT doc_id, {spad('text', False)} AS v FROM documents) SELECT doc_id, {sjoin(smarked(sgrams('v')))} AS marked FROM v")
 def accent_marked_ngrams(spark, d):
-    return docs_of(spark, d).select("doc_id", joined(T.accent_marked(T.char_ngrams("text", strip_accents=False))).alias("marked"))
+    return docs_of(spark, d).select("doc_id", joined(T.char_ngrams("text", strip_accents=False, marked=True)).alias("marked"))
 
 
 @query(f'WITH {DOCS}, {TOK} SELECT doc_id, pos, text, "start", "end", folded FROM tok')

@@ -1,6 +1,7 @@
 """Literal cases of the operators."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ def test_text(spark):
     assert one(spark, document.occurrences(F.lit("aaab"), F.lit("aa"))) == [0, 1]
 
 
+def test_ngrams_of_a_long_text(spark):
+    assert one(spark, T.char_ngrams(F.lit("é😀b é"), strip_accents=False, marked=True)) == sorted(["  é", " é😀", "é😀b", "b é", " é ", "é  "])
+    plain = lambda v: sorted({v[i : i + 3] for i in range(len(v) - 2)})
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdeghiklmnorstéüñđở😀") for _ in range(5)) for _ in range(70_000))
+    want, began = plain(f"  {text}  "), time.time()
+    df = spark.createDataFrame([(text,)], "text string")
+    got = df.select(T.char_ngrams("text", strip_accents=False).alias("g"), T.char_ngrams("text", strip_accents=False, marked=True).alias("m")).first()
+    assert time.time() - began < 30  # minutes, if each n-gram were looked for from the start of the text
+    assert got["g"] == want
+    assert got["m"] == [g for g in want if any(c in T.ACCENTED for c in g)]
+
+
 def test_assertions(spark):
     cases = [
         ("Không sốt, có ho khan", "sốt", "isNegated"),
