@@ -432,12 +432,8 @@ _REASON = lambda g: f"""CASE WHEN regexp_matches({g}, '{_PUNCT}') THEN 'bridge_c
 
 @query(f"""WITH {DOCS}, {TOK}, g AS (SELECT t.doc_id, pos, substr(d.text, "end" + 1, nx - "end") AS gap FROM (SELECT *, lead("start", CAST(length(text) % 3 + 1 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM tok) t JOIN docs d ON d.doc_id = t.doc_id WHERE nx IS NOT NULL) SELECT doc_id, pos, gap, {_REASON('gap')} AS reason FROM g""".replace('lead("start", CAST(length(text) % 3 + 1 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos)', '[lead("start", 1) OVER (PARTITION BY doc_id ORDER BY pos), lead("start", 2) OVER (PARTITION BY doc_id ORDER BY pos), lead("start", 3) OVER (PARTITION BY doc_id ORDER BY pos)][length(text) % 3 + 1]'))
 def safe_bridge(spark, d):
-    docs = docs_of(spark, d)
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    nxt = F.element_at(F.array(*[F.lead("start", k).over(order) for k in (1, 2, 3)]), (F.length("text") % 3 + 1).cast("int"))
-    rows = document.tokens_at(docs).withColumn("nx", nxt).where("nx is not null").join(docs.select("doc_id", F.col("text").alias("src")), "doc_id")
-    gap = document.slice_of("src", "end", "nx")
-    return rows.select("doc_id", "pos", gap.alias("gap"), lattice.bridge_reason(gap).alias("reason"))
+    gaps = document.gaps_ahead(docs_of(spark, d), lambda word: F.length(word) % 3 + 1, 3)
+    return gaps.select("doc_id", "pos", "gap", lattice.bridge_reason(F.col("gap")).alias("reason"))
 
 
 @query(
