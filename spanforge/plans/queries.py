@@ -207,7 +207,7 @@ def sections(spark, d):
 def long_words(docs: DataFrame) -> DataFrame:
     """Entities: words of at least ten letters, with a type by their length."""
     kinds = F.array(*[F.lit(t) for t in proposals.TYPES])
-    return document.tokens_at(docs).where(F.length("text") >= 10).select("doc_id", "start", "end", "text", F.element_at(kinds, (F.length("text") % 5 + 1).cast("int")).alias("type"))
+    return document.words_at(docs, lambda x: F.length(x) >= 10).select("doc_id", "start", "end", "text", F.element_at(kinds, (F.length("text") % 5 + 1).cast("int")).alias("type"))
 
 
 ENT = f"""ent AS MATERIALIZED (SELECT doc_id, "start", "end", text, [{", ".join(lit(t) for t in proposals.TYPES)}][length(text) % 5 + 1] AS type FROM tok WHERE length(text) >= 10)"""

@@ -1,6 +1,7 @@
 """Literal cases of the operators."""
 
 import random
+import re
 import time
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as T
 from spanforge.operators import assertions, document, lattice, lexicon, linking, models, proposals, resolver, validation
+from spanforge.plans import pipeline
 
 
 def one(spark, c):
@@ -63,6 +65,39 @@ def test_alias_hits_take_the_longest(spark):
     assert [h["text"] for h in hits] == ["viêm phổi thùy dưới", "AST"]
 
 
+def test_places_in_a_long_text(spark):
+    line = "Khám: viêm phổi 😀 thùy dưới, ast\tvà AST_1 (hết).\n"
+    texts = {"a": line * 3_000, "b": "", "c": "AST", "d": " , "}
+    docs = spark.createDataFrame([*texts.items(), (None, "AST")], "doc_id string, text string")
+    spans = [(d, *m.span(), m.group()) for d, t in texts.items() for m in re.finditer(r"\w+", t)]
+    began = time.time()
+    got = document.words_at(docs.where("doc_id is not null"), lambda w: F.length(w) >= 4)
+    assert sorted((r["doc_id"], r["start"], r["end"], r["text"]) for r in got.collect()) == sorted(s for s in spans if len(s[3]) >= 4)
+    cut = document.with_slices(spark.createDataFrame([s[:3] for s in spans] + [("c", 1, 9), ("c", 9, 12), ("a", 500, 1600)], "doc_id string, start long, end long"), docs, text=("start", "end"))
+    assert all(r["text"] == texts[r["doc_id"]][r["start"] : r["end"]] for r in cut.collect())
+    concepts = spark.createDataFrame([("1", "AST", []), ("2", "dưới", ["dưới ast và"])], "concept_id string, canonical_name string, aliases array<string>")
+    concepts = concepts.withColumn("entity_type", F.lit("CHẨN_ĐOÁN")).withColumn("metadata", F.create_map(F.lit("name_quality"), F.lit("clean")))
+    hits = lexicon.alias_hits(docs, lexicon.build_lexicon(concepts, max_share=1.0))
+    want = [("a", m.start(), m.end(), m.group()) for m in re.finditer("dưới, ast\tvà", texts["a"])] + [("c", 0, 3, "AST")]
+    assert sorted((r["doc_id"], r["start"], r["end"], r["text"]) for r in hits.collect()) == sorted(want)
+    assert time.time() - began < 60
+
+
+def test_pooled_proposals_are_made_once(spark):
+    docs = spark.createDataFrame([("a", "Khám: viêm phổi")], "doc_id string, text string")
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(1)
+            yield b
+
+    seeds = spark.createDataFrame([("a", 6, 15, "CHẨN_ĐOÁN"), ("a", 6, 99, "THUỐC")], "doc_id string, start long, end long, type string").coalesce(1)
+    found = pipeline.collect(docs, seeds.mapInArrow(counted, seeds.schema), None, None)
+    assert [(r["start"], r["end"], r["text"]) for r in found.collect()] == [(6, 15, "viêm phổi")]
+    assert runs.value == 1  # three times, if the pool were met anew by each side of its joins
+
+
 def test_resolve_overlaps_equals_a_loop(spark):
     rng, rows = random.Random(3), []
     for doc in range(40):
